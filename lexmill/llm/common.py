@@ -157,14 +157,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.ndarray = ASCII_LOWER) -> np.ndarray:
     """64-bit hash of every word, bytes folded through ``fold`` first. The value
-    depends on the word's bytes alone, not on where it stands."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(raw) + 1)
-    sums = np.empty(len(raw) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(BYTE_CODES[fold][raw] * up[: len(raw)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    depends on the word's bytes alone, not on where it stands. Long texts are hashed in
+    runs of words, so that the arrays stay small."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + SLICE_BYTES, "right")))
+        base = starts[i]
+        part, s, e = raw[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base
+        up, down = _powers(len(part) + 1)
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(BYTE_CODES[fold][part] * up[: len(part)], out=sums[1:])
+        out[i:j] = mix64((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        i = j
+    return out
 
 
 def gram_hashes(words: np.ndarray, n: int) -> np.ndarray:

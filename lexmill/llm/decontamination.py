@@ -35,17 +35,7 @@ def _split(text: str):
     """Folded bytes, word starts, ends and hashes of one text."""
     raw = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = words_of(raw, np.array([0, len(raw)]), WORD_BYTE)
-    hashes = np.concatenate([word_hashes(raw[a:b], s - a, e - a) for a, b, s, e in _parts(raw, starts, ends)]) if len(starts) else np.zeros(0, np.uint64)
-    return ASCII_LOWER[raw].tobytes(), starts, ends, hashes
-
-
-def _parts(raw, starts, ends, limit: int = 1 << 20):
-    """Runs of whole words of about ``limit`` bytes, so that hashing takes bounded memory."""
-    i = 0
-    while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + limit, "right")))
-        yield starts[i], ends[j - 1], starts[i:j], ends[i:j]
-        i = j
+    return ASCII_LOWER[raw].tobytes(), starts, ends, word_hashes(raw, starts, ends)
 
 
 @dataclass
@@ -160,7 +150,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
                 n_words, n_hit, matches = [], [], []
                 for row, raw, offsets in text_slices(batch.column(at)):
                     starts, ends, first = words_of(raw, offsets, WORD_BYTE)
-                    hashes = np.concatenate([word_hashes(raw[a:b], s - a, e - a) for a, b, s, e in _parts(raw, starts, ends)]) if len(starts) else np.zeros(0, np.uint64)
+                    hashes = word_hashes(raw, starts, ends)
                     found = [{} for _ in range(len(offsets) - 1)]
                     folded = ASCII_LOWER[raw].tobytes()
                     for t in shared.value:

@@ -8,21 +8,14 @@ false positives. A longer list raises the share of rows that join, never the res
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.bloom import MAX_BLOCKS, possible
 from lexmill.llm.common import durable, out_of_the_way
 
 # The rules of op8's contract, (verdict, host, path).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: The filter has at most this many blocks of 256 bits: 32 MB.
-MAX_BLOCKS = 1 << 20
-#: Listed URLs per block aimed at; about 12 bits for each.
-KEYS_PER_BLOCK = 20
-#: Odd multipliers that pick one bit in each of a block's eight words.
-MULTIPLIERS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 SALTS = 8
 # Fixed value: query parameters that do not tell pages apart.
 TRACKING = "^(utm_[a-z]*|ref|gclid|fbclid)(=|$)"
@@ -67,40 +60,6 @@ def rule_verdict(rules=RULES):
     return rule, verdict
 
 
-class BlockedBloom:
-    """``blocks``: [n, 8] unsigned 32-bit words."""
-
-    def __init__(self, blocks: np.ndarray):
-        self.blocks = blocks
-
-    def test(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.blocks):
-            return np.zeros(len(hashes), bool)
-        u = hashes.astype(np.int64).view(np.uint64)
-        own = self.blocks[((u >> np.uint64(32)) % np.uint64(len(self.blocks))).astype(np.int64)]
-        low = u & np.uint64(0xFFFFFFFF)
-        out = np.ones(len(hashes), bool)
-        for i, m in enumerate(MULTIPLIERS):
-            bit = ((low * np.uint64(m)) & np.uint64(0xFFFFFFFF)) >> np.uint64(27)
-            out &= (own[:, i] >> bit.astype(np.uint32)) & np.uint32(1) == 1
-        return out
-
-
-def build_filter(listed: DataFrame, column: str = "canonical", max_blocks: int = MAX_BLOCKS) -> BlockedBloom:
-    """The filter over the distinct non-null values of a string column."""
-    n = listed.count()
-    blocks = int(min(max_blocks, max(1, -(-n // KEYS_PER_BLOCK))))
-    bits = [F.expr(f"shiftleft(1, cast(shiftrightunsigned(((h & 4294967295L) * {m}L) & 4294967295L, 27) as int))") for m in MULTIPLIERS]
-    rows = listed.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("h"))
-    block = (F.shiftrightunsigned("h", 32) % F.lit(blocks)).cast("int").alias("block")
-    words = rows.select(block, *[b.alias(f"w{i}") for i, b in enumerate(bits)]).groupBy("block").agg(*[F.bit_or(f"w{i}").alias(f"w{i}") for i in range(8)])
-    table = words.toArrow()  # at most max_blocks rows of 36 bytes
-    out = np.zeros((blocks if n else 0, 8), np.uint32)
-    if table.num_rows:
-        out[table.column(0).to_numpy()] = np.stack([table.column(i + 1).to_numpy() for i in range(8)], axis=1).astype(np.int32).view(np.uint32)
-    return BlockedBloom(out)
-
-
 def judge(urls: DataFrame, listed: DataFrame, *, url: str = "url", column: str = "canonical", rules=RULES, salts: int = SALTS, max_blocks: int = MAX_BLOCKS) -> DataFrame:
     """All columns of ``urls`` and host, path, canonical, rule, listed, verdict.
 
@@ -110,7 +69,6 @@ def judge(urls: DataFrame, listed: DataFrame, *, url: str = "url", column: str =
     one; result columns in ``urls`` are replaced. The join's listed side is copied
     ``salts`` times, so that a URL with a third of the rows is dealt to as many tasks."""
     out_of_the_way(urls, url)
-    spark = urls.sparkSession
     added = ("host", "path", "canonical", "rule", "listed", "verdict")
     host, path = host_and_path("__url")
     rows = urls.withColumn("__url", F.col(f"`{url}`")).select(*[F.col(f"`{c}`") for c in urls.columns if c not in added], host.alias("host"), path.alias("path"), canonical("__url").alias("canonical"))
@@ -118,13 +76,7 @@ def judge(urls: DataFrame, listed: DataFrame, *, url: str = "url", column: str =
     rows = rows.select("*", rule.alias("rule"), verdict.alias("verdict"))
     names = listed.where(F.col(column).isNotNull()).select(F.col(column).alias("canonical")).distinct()
     names = durable(names, "listed-urls")
-    shared = spark.sparkContext.broadcast(build_filter(names, max_blocks=max_blocks))
-
-    @F.pandas_udf("boolean")
-    def possible(h):
-        return pd.Series(shared.value.test(h.to_numpy()))
-
-    tested = rows.withColumn("__possible", possible(F.xxhash64("canonical")) & F.col("canonical").isNotNull())
+    tested = rows.withColumn("__possible", possible(names, "canonical", "canonical", max_blocks=max_blocks))
     tested = durable(tested, "tested-urls")
     copies = names.withColumn("listed", F.lit(True)).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     hits = tested.where("__possible").withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(copies, ["canonical", "__salt"], "left").drop("__salt")
