@@ -1,6 +1,7 @@
 """One query per operator, with production parameters, and SQL where SQL can say it."""
 
 from lexmill.llm.decontamination import OP9_SQL, op9_decontamination
+from lexmill.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from lexmill.llm.language_id import op1_language_id
 from lexmill.llm.packing import op2_packing
 from lexmill.llm.pii import op5_pii
@@ -14,7 +15,8 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
 }
-ORACLES = {"op6_warc": OP6_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLES = {"op6_warc": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL}
