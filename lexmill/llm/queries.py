@@ -7,11 +7,13 @@ from lexmill.llm.packing import op2_packing
 from lexmill.llm.pii import op5_pii
 from lexmill.llm.token_counts import op4_token_counts
 from lexmill.llm.url_filter import OP8_SQL, op8_url_filter
+from lexmill.llm.vector_search import OP3_SQL, op3_vector_search
 from lexmill.llm.warc import OP6_SQL, op6_warc
 
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_packing": op2_packing,
+    "op3_vector_search": op3_vector_search,
     "op4_token_counts": op4_token_counts,
     "op5_pii": op5_pii,
     "op6_warc": op6_warc,
@@ -19,4 +21,4 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
 }
-ORACLES = {"op6_warc": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL}
+ORACLES = {"op3_vector_search": OP3_SQL, "op6_warc": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL}
