@@ -4,6 +4,7 @@ from lexmill.llm.decontamination import OP9_SQL, op9_decontamination
 from lexmill.llm.jaccard_join import OP7_SQL, op7_jaccard_join
 from lexmill.llm.language_id import op1_language_id
 from lexmill.llm.packing import op2_packing
+from lexmill.llm.passages import op10_passages
 from lexmill.llm.pii import op5_pii
 from lexmill.llm.token_counts import op4_token_counts
 from lexmill.llm.url_filter import OP8_SQL, op8_url_filter
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_jaccard_join": op7_jaccard_join,
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
+    "op10_passages": op10_passages,
 }
 ORACLES = {"op3_vector_search": OP3_SQL, "op6_warc": OP6_SQL, "op7_jaccard_join": OP7_SQL, "op8_url_filter": OP8_SQL, "op9_decontamination": OP9_SQL}
