@@ -1,10 +1,25 @@
-"""Queries by operator name, and the SQL that gives the same rows."""
+"""All queries of the reference's operators, by name, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from pyspark.sql import DataFrame
 
+from lexmill.plans import (  # noqa: F401
+    aggregates,
+    graphs,
+    joins,
+    ledgers,
+    scalars,
+    similarity,
+    sources,
+    windows,
+)
+from lexmill.plans.base import ORACLES, QUERIES, Tables
+from lexmill.operators.dedup import duplicate_report
 
-def flagship(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+__all__ = ["ORACLES", "QUERIES", "flagship"]
+
+
+def flagship(spark, sf_dir: str) -> DataFrame:
+    """Exact duplicates, and each source's signal tier."""
+    return duplicate_report(Tables(spark, sf_dir).sources())
