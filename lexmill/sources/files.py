@@ -25,12 +25,17 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     no JSON object raises.
 
     Line numbers are not collected: only the largest offset of a bad line meets that of all lines."""
-    lines = spark.read.text(path).select(F.col("value"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n")).where(F.trim("value") != "")
-    parsed = lines.withColumn("ok", F.coalesce(F.expr("try_parse_json(value)").isNotNull() & F.ltrim("value").startswith("{"), F.lit(False)))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
+    return parse_jsonl(lines, schema)
+
+
+def parse_jsonl(lines: DataFrame, schema: str) -> DataFrame:
+    """As ``read_jsonl``, from lines (file, n, value), n rising within a file."""
+    parsed = lines.where(F.trim("value") != "").withColumn("ok", F.coalesce(F.expr("try_parse_json(value)").isNotNull() & F.ltrim("value").startswith("{"), F.lit(False)))
     last = parsed.groupBy("file").agg(F.max("n").alias("last"))
-    checked = parsed.join(F.broadcast(last), "file")
-    bad = F.when(~F.col("ok") & (F.col("n") < F.col("last")), F.raise_error(F.concat(F.lit("corrupt line in "), "file"))).otherwise(F.col("value"))
-    return checked.where("ok OR n < last").select(F.from_json(bad, schema).alias("r")).select("r.*")
+    checked = parsed.join(last, "file")
+    value = F.when(~F.col("ok") & (F.col("n") < F.col("last")), F.raise_error(F.concat(F.lit("corrupt line in "), "file"))).otherwise(F.col("value"))
+    return checked.where("ok OR n < last").select(F.from_json(value, schema).alias("r")).select("r.*")
 
 
 def tree_hash(rows: DataFrame, path: str = "path", content: str = "content_hash", size: str | None = None) -> DataFrame:
