@@ -23,6 +23,31 @@ PARAMETER = r"(?i)^\s*(?:[-*]\s*)?(?:parameter|param|argument)\b[^:：]*[:：]"
 WIDE_MARKS = "，。！？：；（）【】《》—－～％＃＆＊＋＝／＼｜＠＄＾＿｀“”„「」『』‘’‚·"
 PLAIN_MARKS = ",.!?:;()[]<>--~%#&*+=/\\|@$^_`\"\"\"\"\"\"\"'''."
 
+# Headings by kind, in the order in which they are tried.
+SECTION_KINDS = (
+    ("ignored", r"(?i)目录|修订记录|revision|document\s+directory"),
+    ("diagnostic", "(?i)排查|故障|异常|问题|错误|失败|验证|检查|troubleshoot|diagnostic|faq|常见问题"),
+    ("boundary", "(?i)限制|边界|注意|不支持|limit|boundary"),
+    ("usage", "(?i)背景|用途|适用|功能介绍|概述|目标|场景|overview|introduction"),
+    ("procedure", "(?i)入口|步骤|操作|配置|页面|内容|添加|新增|编辑|删除|列表|弹窗|筛选|设置|管理|procedure|action"),
+)
+
+# Patterns that a source's features are read from.
+FEATURE_PARENT = r"(?:parent|parent_path)\s*:"
+FEATURE_TABLE = r"\|[^\n]*\|"
+FEATURE_FAQ = r"\b(?:faq|frequently asked|常见问题|问答)\b"
+FEATURE_IMAGE = r"(?i)!\[[^]]*\]\([^)]*\)|<img\b"
+FEATURE_VERSION = r"(?i)\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b"
+FEATURE_NOISE = r"(?:todo|draft|lorem ipsum|噪声)"
+SOURCE_ANCHOR = r"(?im)^##\s+(?:来源(?:索引|线索)?(?:（简表）)?|sources?)\s*$"
+
+# What is taken out of a source line, and the summary of a page without prose.
+LINE_MARKUP = (
+    (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"https?://\S+", ""),
+    ("[*_`~]", ""), (r"^(?:[-*+]\s+|[0-9]+[.)、]\s+)", ""), (r"\s+", " "), (r"^\s+|\s+$", ""), (r"[；;、,，]\s*$", ""),
+)
+NO_SUMMARY = ("本页整理 ", " 的操作、规则或背景资料。")
+
 TOKEN = r"([\p{L}\p{N}_-]+)"
 NUMBER = r"(?<![A-Za-z0-9_])([0-9]+(?:\.[0-9]+)?%?)(?![A-Za-z0-9_])"
 IDENTIFIER = r"\b([A-Z][A-Z0-9_-]{2,})\b"
@@ -137,23 +162,20 @@ def structure_features(text, path, title, parent) -> Column:
     """Seven booleans that describe a source's structure."""
     x, low = _c(text), casefold(text)
     return F.struct(
-        ((F.coalesce(_c(parent), F.lit("")) != "") | F.contains(_c(path), F.lit("/")) | low.rlike(r"(?:parent|parent_path)\s*:")).alias("parent_child"),
-        x.rlike(r"\|[^\n]*\|").alias("table"),
-        low.rlike(r"\b(?:faq|frequently asked|常见问题|问答)\b").alias("faq"),
-        x.rlike(r"(?i)!\[[^]]*\]\([^)]*\)|<img\b").alias("image"),
+        ((F.coalesce(_c(parent), F.lit("")) != "") | F.contains(_c(path), F.lit("/")) | low.rlike(FEATURE_PARENT)).alias("parent_child"),
+        x.rlike(FEATURE_TABLE).alias("table"),
+        low.rlike(FEATURE_FAQ).alias("faq"),
+        x.rlike(FEATURE_IMAGE).alias("image"),
         (x.rlike("[一-鿿]") & x.rlike("[A-Za-z]")).alias("bilingual"),
-        x.rlike(r"(?i)\bv?[0-9]+\.[0-9]+(?:\.[0-9]+)?\b").alias("version"),
-        ((strip(F.coalesce(_c(title), F.lit(""))) == "") | low.rlike(r"(?:todo|draft|lorem ipsum|噪声)")).alias("noise"),
+        x.rlike(FEATURE_VERSION).alias("version"),
+        ((strip(F.coalesce(_c(title), F.lit(""))) == "") | low.rlike(FEATURE_NOISE)).alias("noise"),
     )
 
 
 def clean_line(x) -> Column:
     """A source line as reader text: links and images by their label, no URLs or mark-up."""
     y = F.replace(F.replace(F.replace(strip(x), F.lit(" "), F.lit(" ")), F.lit("<br />"), F.lit("；")), F.lit("<br/>"), F.lit("；"))
-    for pattern, by in (
-        (r"!\[([^\]]*)\]\([^)]*\)", "$1"), (r"\[([^\]]+)\]\([^)]*\)", "$1"), (r"https?://\S+", ""),
-        ("[*_`~]", ""), (r"^(?:[-*+]\s+|[0-9]+[.)、]\s+)", ""), (r"\s+", " "), (r"^\s+|\s+$", ""), (r"[；;、,，]\s*$", ""),
-    ):
+    for pattern, by in LINE_MARKUP:
         y = F.regexp_replace(y, pattern, by)
     return strip(y)
 
@@ -167,15 +189,10 @@ def table_cells(x) -> Column:
 
 
 def section_kind(heading) -> Column:
-    x = _c(heading)
-    return (
-        F.when(x.rlike(r"(?i)目录|修订记录|revision|document\s+directory"), "ignored")
-        .when(x.rlike("(?i)排查|故障|异常|问题|错误|失败|验证|检查|troubleshoot|diagnostic|faq|常见问题"), "diagnostic")
-        .when(x.rlike("(?i)限制|边界|注意|不支持|limit|boundary"), "boundary")
-        .when(x.rlike("(?i)背景|用途|适用|功能介绍|概述|目标|场景|overview|introduction"), "usage")
-        .when(x.rlike("(?i)入口|步骤|操作|配置|页面|内容|添加|新增|编辑|删除|列表|弹窗|筛选|设置|管理|procedure|action"), "procedure")
-        .otherwise("detail")
-    )
+    x, out = _c(heading), F.lit("detail")
+    for kind, pattern in reversed(SECTION_KINDS):
+        out = F.when(x.rlike(pattern), kind).otherwise(out)
+    return out
 
 
 def word_grams(x, n: int = 5) -> Column:
@@ -221,7 +238,7 @@ def summary_line(x, title) -> Column:
     prose = F.transform(F.filter(lines(x), lambda v: (strip(v) != "") & ~strip(v).rlike(r"^(#|- |\* |> |\|)")), lambda v: squeeze(v))
     first = F.get(F.filter(prose, lambda v: F.char_length(v) >= 8), 0)
     short = F.regexp_replace(F.substring(first, 1, 180), "[。；;，,]+$", "")
-    return F.coalesce(F.concat(short, F.when(F.char_length(first) > 180, "……").otherwise("。")), F.concat(F.lit("本页整理 "), _c(title), F.lit(" 的操作、规则或背景资料。")))
+    return F.coalesce(F.concat(short, F.when(F.char_length(first) > 180, "……").otherwise("。")), F.concat(F.lit(NO_SUMMARY[0]), _c(title), F.lit(NO_SUMMARY[1])))
 
 
 def code_signatures(x) -> Column:
@@ -244,7 +261,7 @@ def term_coverage(text, terms: list[str]) -> Column:
 
 
 def has_source_anchor(x) -> Column:
-    return _c(x).rlike(r"(?im)^##\s+(?:来源(?:索引|线索)?(?:（简表）)?|sources?)\s*$")
+    return _c(x).rlike(SOURCE_ANCHOR)
 
 
 def part_path(folder, topic, part) -> Column:
