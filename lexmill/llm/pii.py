@@ -14,7 +14,9 @@ Base kinds (email, ip, card, phone) are exactly the leftmost non-overlapping mat
 
 where a match that fails its check is dropped and not retried. Further kinds come from
 cues: ``login`` (user:password in a URL), ``iban`` (valid by modulus 97), ``account`` and ``secret``
-(the value after an identifier cue).
+(the value after an identifier cue); and from base matches that failed since they ran into
+further digits: ``pan`` (a card number within a longer chain) and ``tel`` (the telephone number at its
+beginning).
 """
 
 from __future__ import annotations
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import out_of_the_way
+from lexmill.llm.common import out_of_the_way, small_batches
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-ADDED_KINDS = ("login", "iban", "account", "secret")
+ADDED_KINDS = ("login", "iban", "account", "secret", "pan", "tel")
 KINDS = BASE_KINDS + ADDED_KINDS
 RANK = {k: i for i, k in enumerate(KINDS)}
 
@@ -133,6 +135,35 @@ def _phone(text: str, plus: int) -> tuple[int, int] | None:
     return (plus, end) if end > plus + 3 and text[end - 1] in DIGITS else None
 
 
+def _cards_within(text: str, start: int, end: int):
+    """Unbroken runs of 14 to 19 digits that pass Luhn, in a chain of digits, blanks and hyphens."""
+    while start < end:
+        stop = _run(text, start, DIGITS)
+        if 14 <= stop - start <= 19 and luhn(text[start:stop]):
+            yield start, stop
+        start = stop + 1
+
+
+def _phone_head(text: str, start: int, end: int) -> int | None:
+    """Where a telephone number ends that runs into more digits: after 11 digits for country code 1,
+    else after the last group of digits that keeps it at 15 or fewer."""
+    n, best, i = 0, None, start
+    while i < end:
+        if text[i] not in DIGITS:
+            i += 1
+            continue
+        stop = _run(text, i, DIGITS)
+        n += stop - i
+        if n > 15:
+            break
+        if n >= 10:
+            best = stop
+        if n == 11 and text[start + 1] == "1" and text[start + 2] not in DIGITS:
+            return stop
+        i = stop
+    return best
+
+
 def _iban(text: str, digit: int) -> tuple[int, int] | None:
     """Two capitals, two digits, 11 to 30 capitals or digits in groups parted by blanks; modulus 97."""
     start = digit - 2
@@ -205,6 +236,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
                 digits = [c for c in text[first:end] if c in DIGITS]
                 if 14 <= len(digits) <= 19 and luhn("".join(digits)):
                     spans.append((first, end, "card"))
+                elif len(digits) > 19:
+                    spans += [(a, b, "pan") for a, b in _cards_within(text, first, end)]
             if first >= done["chain"]:
                 ends, done["chain"] = _dotted(text, first)
                 start = first
@@ -221,8 +254,11 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         elif what == "plus":
             if first >= done["phone"] and (span := _phone(text, first)):
                 done["phone"] = span[1]
-                if 10 <= sum(c in DIGITS for c in text[span[0] : span[1]]) <= 15:
+                digits = sum(c in DIGITS for c in text[span[0] : span[1]])
+                if 10 <= digits <= 15:
                     spans.append((*span, "phone"))
+                elif digits > 15 and (end := _phone_head(text, *span)):
+                    spans.append((first, end, "tel"))
         elif what == "scheme":
             added(_login(text, last + 1), "login")
         elif first == 0 or text[first - 1] not in ALNUM:
@@ -258,6 +294,7 @@ def annotate(docs: DataFrame, *, text: str = "text") -> DataFrame:
     Null and empty texts have no spans. Rows are annotated one by one, repeated or not;
     a column of ``docs`` called pii is replaced."""
     out_of_the_way(docs, text)
+    small_batches(docs.sparkSession)
     keep, fields = _columns(docs, ("pii",))
     at = keep.index(text)
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
@@ -273,6 +310,7 @@ def annotate(docs: DataFrame, *, text: str = "text") -> DataFrame:
 def redact(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """``docs`` with every span of its texts replaced by ``<KIND>``; other columns as they are."""
     out_of_the_way(docs, text)
+    small_batches(docs.sparkSession)
     keep, fields = _columns(docs, ())
     at = keep.index(text)
 

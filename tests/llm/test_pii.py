@@ -33,6 +33,12 @@ def test_added_kinds():
     assert not any("love" in x for _, x in found)
 
 
+def test_numbers_that_run_into_others():
+    text = "a 7536784127813050 4111111111111111 b +1 (826) 555-4081 190.97.51.17 c +44 20 7946 0958 1234567"
+    found = [(k, text[a:b]) for a, b, k in P.find(text)]
+    assert found == [("pan", "7536784127813050"), ("pan", "4111111111111111"), ("tel", "+1 (826) 555-4081"), ("ip", "190.97.51.17"), ("tel", "+44 20 7946 0958")]
+
+
 def test_mask_joins_overlaps():
     text = "mail a@b.co or +1 (650) 555-1234."
     assert P.mask(text, P.find(text)) == "mail <EMAIL> or <PHONE>."
