@@ -16,7 +16,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a kernel holds at once; its arrays take about 60 times that.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+#: Bytes of an Arrow batch between Spark and Python, where the session has Spark's default of 64 MB.
+BATCH_BYTES = 8 << 20
 
 ASCII_LOWER = np.arange(256, dtype=np.uint8)
 ASCII_LOWER[65:91] += 32
@@ -81,6 +83,17 @@ def out_of_the_way(df: DataFrame, *names: str) -> None:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python operators, unless the session has a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        if spark.conf.get(key) in ("67108864b", "64m", "64MB"):
+            spark.conf.set(key, f"{BATCH_BYTES}b")
+    except Exception as error:  # a Spark without this setting
+        if "SQL_CONF_NOT_FOUND" not in str(error) and "NoSuchElement" not in str(error):
+            raise
+
+
 # --- text kernels -----------------------------------------------------------
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ASCII_LOWER, gram_hashes, out_of_the_way, text_slices, word_hashes, words_of
+from lexmill.llm.common import ASCII_LOWER, gram_hashes, out_of_the_way, small_batches, text_slices, word_hashes, words_of
 
 WINDOW = 10
 #: Benchmark text in one set of tables; a larger benchmark is searched in several passes.
@@ -134,6 +134,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     out_of_the_way(docs, text)
     out_of_the_way(benchmark, item_id, item_text)
     spark = docs.sparkSession
+    small_batches(spark)
     added = ("n_words", "n_hit", "matches")
     keep = [c for c in docs.columns if c not in added]
     at = keep.index(text)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import out_of_the_way, text_slices, words_of
+from lexmill.llm.common import out_of_the_way, small_batches, text_slices, words_of
 
 #: Labelled rows per language that the model is fitted on, at most (chosen by a hash of the row).
 MAX_TRAIN_ROWS = 3000
@@ -291,6 +291,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
     name; repeated rows are labelled alike, each for itself; columns of ``docs``
     called like a result are replaced."""
     out_of_the_way(docs, text)
+    small_batches(docs.sparkSession)
     extra = ("lang_pred", "score", "spans")
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in extra]
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import durable, out_of_the_way
+from lexmill.llm.common import durable, out_of_the_way, small_batches
 from lexmill.llm.tokens import END_ID, ids_of, vocabulary
 
 LENGTH = 1024
@@ -35,6 +35,7 @@ def tokenize_pieces(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     ``length`` are cut into pieces of exactly ``length``, but for the first. Null and
     empty texts are ``end_id`` alone; null and repeated doc_ids stay as they are."""
     out_of_the_way(docs, text, doc_id)
+    small_batches(docs.sparkSession)
     path = path or vocabulary()
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     key = source.schema["doc_id"].dataType.simpleString()

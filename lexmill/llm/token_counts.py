@@ -16,7 +16,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import durable, open_fs, out_of_the_way, scratch_path
+from lexmill.llm.common import durable, open_fs, out_of_the_way, scratch_path, small_batches
 from lexmill.llm.tokens import encoder, vocabulary
 
 #: <|endoftext|> of byte_bpe_50k.json; no text encodes to it.
@@ -32,6 +32,7 @@ def write_token_files(docs: DataFrame, directory: str, *, text: str = "text", do
     and a task that runs again writes the same file again. Null and empty texts are a
     separator alone; empty partitions write no file."""
     out_of_the_way(docs, text, doc_id)
+    small_batches(docs.sparkSession)
     path = path or vocabulary()
     source = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.spark_partition_id().alias("part"))
     key = source.schema["doc_id"].dataType.simpleString()

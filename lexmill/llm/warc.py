@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import durable, open_fs, out_of_the_way, scratch_path
+from lexmill.llm.common import durable, open_fs, out_of_the_way, scratch_path, small_batches
 
 #: Copies of each original that the join with its revisits is salted over.
 SALTS = 16
@@ -115,6 +115,7 @@ def write_archives(pages: DataFrame, directory: str, *, payload: str = "html", l
     in the archive and kept in the index."""
     columns = ["page_id", "url", payload, "digest", "payload_bytes", "record_type", "refers_to"]
     out_of_the_way(pages, *columns)
+    small_batches(pages.sparkSession)
     source = pages.select(*columns, F.spark_partition_id().alias("part"))
 
     def run(batches):
