@@ -49,7 +49,7 @@ def build_filter(listed: DataFrame, column: str = "canonical", max_blocks: int =
     return BlockedBloom(out)
 
 
-def possible(listed: DataFrame, column: str, tested: str, max_blocks: int = MAX_BLOCKS) -> Column:
+def possible(listed: DataFrame, column: str, tested: str | Column, max_blocks: int = MAX_BLOCKS) -> Column:
     """A boolean column: false only where ``tested`` is null or surely not in ``listed``'s
     ``column``, which must have the same type and no null. Only hashes go to Python."""
     shared = listed.sparkSession.sparkContext.broadcast(build_filter(listed, column, max_blocks))
@@ -58,9 +58,9 @@ def possible(listed: DataFrame, column: str, tested: str, max_blocks: int = MAX_
     def test(h: pd.Series) -> pd.Series:
         return pd.Series(shared.value.test(h.to_numpy()))
 
-    return test(F.xxhash64(tested)) & F.col(tested).isNotNull()
+    return test(F.xxhash64(tested)) & (F.col(tested) if isinstance(tested, str) else tested).isNotNull()
 
 
 def possible_ids(listed: DataFrame, column: str, tested: str) -> Column:
     """As ``possible``, for integer keys of any width."""
-    return possible(listed.select(F.col(column).cast("long").alias(column)), column, tested)
+    return possible(listed.select(F.col(column).cast("long").alias(column)), column, F.col(tested).cast("long"))
