@@ -23,9 +23,25 @@ def cosine(a: str, b: str) -> Column:
     return F.when(norm == 0, F.raise_error(F.lit("a vector has norm 0"))).otherwise(dot(a, b) / norm)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of an input with fewer pieces than the cluster has cores, dealt out anew; large inputs as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def token_sets(rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, toks, n for rows with at least one token."""
-    return rows.select(F.col(key), T.tokens(text).alias("toks")).withColumn("n", F.size("toks")).where("n > 0")
+    return spread(rows.select(key, text)).select(F.col(key), T.tokens(text).alias("toks")).withColumn("n", F.size("toks")).where("n > 0")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed to the shared folder: computed once, whatever reads it, and safe from lost executors."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        from lexmill.sources.shared import checkpoint_dir
+
+        sc.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def ordered_prefixes(sets: DataFrame, key: str, threshold: float, frequency: DataFrame) -> DataFrame:
@@ -43,7 +59,7 @@ def token_frequency(sets: DataFrame) -> DataFrame:
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """a, b, score for all pairs a < b of rows whose token sets have a Jaccard similarity of at
     least ``threshold`` (above 0). Exact: prefix and length filters, then verification."""
-    sets = token_sets(rows, key, text)
+    sets = stored(token_sets(rows, key, text))
     prefix = ordered_prefixes(sets, key, threshold, token_frequency(sets))
     a, b = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), "tok"), prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), "tok")
     sized = (F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9) & (F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9)
@@ -84,13 +100,10 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame, key: str) -> DataFram
     Labels move to the smallest neighbour until none changes; each round is checkpointed."""
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
     label = nodes.select(F.col(key).alias("a"), F.col(key).alias("c"))
-    if not nodes.sparkSession.sparkContext.getCheckpointDir():
-        from lexmill.sources.shared import checkpoint_dir
-
-        nodes.sparkSession.sparkContext.setCheckpointDir(checkpoint_dir(nodes.sparkSession))
     while True:
         near = both.join(label.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").groupBy("a").agg(F.min("d").alias("d"))
-        moved = label.join(near, "a", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("c"), (F.coalesce("d", "c") < F.col("c")).alias("moved")).checkpoint()
+        moved = label.join(near, "a", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("c"), (F.coalesce("d", "c") < F.col("c")).alias("moved"))
+        moved = stored(moved)
         label = moved.select("a", "c")
         if not moved.where("moved").limit(1).count():
             return label.select(F.col("a").alias(key), F.col("c").alias("component"))
