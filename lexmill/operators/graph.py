@@ -53,14 +53,14 @@ def hops(edges: DataFrame, entries: DataFrame, most: int | None = None) -> DataF
     return seen
 
 
-def routes(edges: DataFrame, entry, most: int = 20) -> DataFrame:
+def routes(edges: DataFrame, entry, most: int | None = None) -> DataFrame:
     """node, hops, route: a shortest path from the entry; ties to the link that stands first (pos) on
-    the earliest page of the level."""
+    the earliest page of the level. Without ``most`` hops given, all nodes that can be reached."""
     spark = edges.sparkSession
     edges = _checkpointed(edges.groupBy("src", "dst").agg(F.min("pos").alias("pos")))
     seen = _checkpointed(spark.createDataFrame([(entry,)], f"node {edges.schema['src'].dataType.simpleString()}").select("node", F.lit(0).alias("hops"), F.array("node").alias("route"), F.array(F.lit(0).cast("int")).alias("order")))
     front, level = seen, 0
-    while level < most:
+    while most is None or level < most:
         level += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node"), F.concat("order", F.array(F.col("pos").cast("int"))).alias("order"), F.concat("route", F.array("dst")).alias("route"))
         best = step.groupBy("node").agg(F.min(F.struct("order", "route")).alias("b")).join(seen.select("node"), "node", "left_anti")

@@ -147,6 +147,11 @@ def test_routes_prefer_the_first_link(spark):
     assert dict((r["node"], r["route"]) for r in graph.routes(e, "h").collect())["t"] == ["h", "b", "t"]
 
 
+def test_routes_have_no_hop_limit(spark):
+    e = spark.createDataFrame([(i, i + 1, 0) for i in range(23)], "src long, dst long, pos int")
+    assert {r["node"]: r["hops"] for r in graph.routes(e, 0).collect()} == {i: i for i in range(24)}
+
+
 def test_targets_that_leave_the_tree(spark):
     df = spark.createDataFrame([("a/b.md", "../c.md"), ("a/b.md", "../../c.md"), ("a/b.md", "./x/../y.md")], "s string, t string")
     assert [r[0] for r in df.select(graph.normalized_target(F.col("s"), F.col("t"))).collect()] == ["c.md", None, "a/y.md"]
