@@ -90,7 +90,7 @@ def _(spark, d):
 @query("sim_15_lineage_split", "SELECT DISTINCT 'lineage-' || label AS lineage FROM embeddings")
 def _(spark, d):
     # lineages are labels: a handful of groups of cases, not cases
-    pairs = Tables(spark, d).embeddings.select(F.concat(F.lit("lineage-"), F.col("label").cast("string")).alias("lineage"), F.when(F.col("embedding")[0] > 0, "positive").otherwise("negative").alias("stratum")).distinct().limit(10_000).collect()
+    pairs = Tables(spark, d).embeddings.select(F.concat(F.lit("lineage-"), F.col("label").cast("string")).alias("lineage"), F.when(F.col("embedding")[0] > 0, "positive").otherwise("negative").alias("stratum")).distinct().collect()
     chosen = runner.split_lineages([(r["lineage"], r["stratum"]) for r in pairs])
     return spark.createDataFrame([(k,) for k in sorted(chosen)], "lineage string")
 

@@ -100,27 +100,34 @@ def split_lineages(strata: Iterable[tuple[str, str]]) -> dict[str, str]:
     chosen: dict[str, str] = {}
     left = {s: len(ls) for s, ls in covers.items()}
 
-    def open_splits(s: str) -> set[str]:
-        return set(both) - {chosen[x] for x in covers[s] if x in chosen}
-
-    def place(i: int) -> bool:
-        if i == len(order):
-            return True
-        x = order[i]
-        first = both[int(hashlib.sha256(x.encode()).hexdigest(), 16) % 2]
-        for split in (first, both[1 - both.index(first)]):
-            chosen[x] = split
-            for s in of[x]:
-                left[s] -= 1
-            if all(len(open_splits(s)) <= left[s] for s in of[x] & needs) and place(i + 1):
-                return True
-            for s in of[x]:
-                left[s] += 1
+    used = {(s, split): 0 for s in covers for split in both}
+
+    def options(x: str) -> tuple[str, str]:
+        first = int(hashlib.sha256(x.encode()).hexdigest(), 16) % 2
+        return both[first], both[1 - first]
+
+    def put(x: str, by: int) -> None:
+        for s in of[x]:
+            left[s] -= by
+            used[s, chosen[x]] += by
+
+    # a loop with a stack of options tried, not a recursion: lineages may be many
+    tried = [0]
+    while len(tried) <= len(order):
+        x = order[len(tried) - 1]
+        if x in chosen:
+            put(x, -1)
             del chosen[x]
-        return False
-
-    if not place(0):
-        raise ValueError("no split covers every stratum twice")
+        if tried[-1] == 2:
+            tried.pop()
+            if not tried:
+                raise ValueError("no split covers every stratum twice")
+            continue
+        chosen[x] = options(x)[tried[-1]]
+        tried[-1] += 1
+        put(x, 1)
+        if all(sum(not used[s, split] for split in both) <= left[s] for s in of[x] & needs):
+            tried.append(0)
     return chosen
 
 

@@ -152,6 +152,14 @@ def test_routes_have_no_hop_limit(spark):
     assert {r["node"]: r["hops"] for r in graph.routes(e, 0).collect()} == {i: i for i in range(24)}
 
 
+def test_lineage_split_keeps_all_lineages(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = spark.range(10_500).selectExpr("id AS vec_id", "id AS label", "array(cast(1 AS float)) AS embedding")
+    rows.write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert entry.queries()["sim_15_lineage_split"](spark, str(tmp_path)).count() == 10_500
+
+
 def test_targets_that_leave_the_tree(spark):
     df = spark.createDataFrame([("a/b.md", "../c.md"), ("a/b.md", "../../c.md"), ("a/b.md", "./x/../y.md")], "s string, t string")
     assert [r[0] for r in df.select(graph.normalized_target(F.col("s"), F.col("t"))).collect()] == ["c.md", None, "a/y.md"]
