@@ -3,7 +3,9 @@
 One Aho-Corasick pass over a text finds its anchors: at-signs, scheme separators, plus
 signs before a digit, digits, and cues such as ``token`` or ``passport``. Around an anchor a
 small deterministic parser expands to both sides and validates what it finds. No text is
-scanned by a backtracking expression, so a text costs time in proportion to its length.
+scanned by a backtracking expression, and what a parser has scanned is remembered where the
+next anchor could scan it again, so a text costs time in proportion to its length. A very long
+text is scanned whole, and takes memory for itself and a lower-case copy.
 
 Base kinds (email, ip, card, phone) are exactly the leftmost non-overlapping matches of
 
@@ -41,6 +43,8 @@ LOCAL = ALNUM | frozenset("._%+-")
 LABEL = ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
 VALUE = ALNUM | frozenset("_-.+/=")
+BLANKS = frozenset(" \t")
+CAPITALS = DIGITS | frozenset(string.ascii_uppercase)
 
 # Words that announce an identifier or a secret, in lower case.
 ACCOUNT_CUES = ("account number", "account no", "passport", "social security", "ssn", "tax id", "customer id", "member id", "iban")
@@ -169,17 +173,23 @@ def _iban(text: str, digit: int) -> tuple[int, int] | None:
     start = digit - 2
     if start < 0 or not all("A" <= c <= "Z" for c in text[start:digit]) or start and text[start - 1] in ALNUM:
         return None
-    capitals, end, best = DIGITS | frozenset(string.ascii_uppercase), start, None
-    kept = ""
-    while len(kept) < 34 and end < len(text):
-        if text[end] in capitals:
-            kept += text[end]
+    head, end, kept, best, rest = 0, start, 0, None, 0
+    while kept < 34 and end < len(text):
+        c = text[end]
+        if c in CAPITALS:
+            # the first four characters count as if they stood last
+            worth, width = int(c, 36), 10 if c in DIGITS else 100
+            if kept < 4:
+                head = head * width + worth
+            else:
+                rest = (rest * width + worth) % 97
+            kept += 1
             end += 1
-            if 15 <= len(kept) and kept[2:4].isdigit() and (end == len(text) or text[end] not in ALNUM):
-                moved = kept[4:] + kept[:4]
-                if int("".join(str(int(c, 36)) for c in moved)) % 97 == 1:
-                    best = end
-        elif text[end] == " " and end + 1 < len(text) and text[end + 1] in capitals:
+            if kept == 4 and not text[digit : digit + 2].isdigit():
+                return None
+            if kept >= 15 and (rest * 1_000_000 + head) % 97 == 1 and (end == len(text) or text[end] not in ALNUM):
+                best = end
+        elif c == " " and end + 1 < len(text) and text[end + 1] in CAPITALS:
             end += 1
         else:
             break
@@ -195,31 +205,49 @@ def _login(text: str, after: int) -> tuple[int, int] | None:
     return (after, at) if at > after and ":" in text[after:at] else None
 
 
-def _value(text: str, after: int, needs_mark: bool) -> tuple[int, int] | None:
+class _Values:
+    """Runs of value characters in one text. A run is scanned once, however many cues stand in it."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.stop, self.last, self.digit = text, 0, 0, 0, -1
+
+    def end(self, i: int) -> tuple[int, bool]:
+        """Where the value that begins at ``i`` ends, without trailing stops, hyphens and slashes, and
+        whether a digit is in it."""
+        if not self.start <= i < self.stop:
+            text, self.start, self.stop = self.text, i, _run(self.text, i, VALUE)
+            self.last = self.stop
+            while self.last > i and text[self.last - 1] in ".-/":
+                self.last -= 1
+            self.digit = self.last - 1
+            while self.digit >= i and text[self.digit] not in DIGITS:
+                self.digit -= 1
+        return max(i, self.last), self.digit >= i
+
+
+def _value(text: str, after: int, needs_mark: bool, values: _Values) -> tuple[int, int] | None:
     """The value after a cue: blanks, at most one of : = #, blanks, a quote, then at least
     MIN_VALUE characters with a digit among them."""
     i = after
     if i < len(text) and text[i] in "\"'":
         i += 1
-    i = _run(text, i, frozenset(" \t"))
+    i = _run(text, i, BLANKS)
     mark = i < len(text) and text[i] in ":=#"
     if mark:
-        i = _run(text, i + 1, frozenset(" \t"))
+        i = _run(text, i + 1, BLANKS)
     elif needs_mark:
         return None
     if i < len(text) and text[i] in "\"'":
         i += 1
-    end = _run(text, i, VALUE)
-    while end > i and text[end - 1] in ".-/":
-        end -= 1
-    return (i, end) if end - i >= MIN_VALUE and any(c in DIGITS for c in text[i:end]) else None
+    end, digit = values.end(i)
+    return (i, end) if digit and end - i >= MIN_VALUE else None
 
 
 def find(text: str | None) -> list[tuple[int, int, str]]:
     """All spans (start, end, kind) in code points, by start, then kind in KINDS' order."""
     if not text:
         return []
-    spans = []
+    spans, values = [], _Values(text)
     done = dict.fromkeys(("email", "chain", "card", "phone", "added"), 0)
 
     def added(span, kind):
@@ -262,7 +290,7 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         elif what == "scheme":
             added(_login(text, last + 1), "login")
         elif first == 0 or text[first - 1] not in ALNUM:
-            added(_value(text, last + 1, what == "secret"), what)
+            added(_value(text, last + 1, what == "secret", values), what)
     spans.sort(key=lambda s: (s[0], RANK[s[2]], s[1]))
     return spans
 

@@ -1,5 +1,7 @@
 import hashlib
+import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -55,6 +57,36 @@ def test_odd_rows(spark):
     assert P.pii_report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+CUES = [c + mark for c in P.SECRET_CUES + P.ACCOUNT_CUES for mark in ("=", "/", ".", "=x1=")]
+
+
+@pytest.mark.parametrize("unit", [*CUES, "GB82 ", "1.", "1 ", "+1", "a@", "a@b.", "://a:b@", "token=" + "." * 50])
+def test_time_is_in_proportion_to_length(unit):
+    P.find(unit)
+
+    def took(n):
+        began = time.process_time()
+        P.find(unit * (n // len(unit)))
+        return time.process_time() - began
+
+    assert took(1_000_000) < 5
+
+
+def test_values_in_one_run_end_where_the_run_ends():
+    text = "token=ab1token=cd secret=efghijkl token/x"
+    assert [(k, text[a:b]) for a, b, k in P.find(text)] == [("secret", "ab1token=cd")]
+
+
+def test_iban_by_modulus():
+    def slow(text):
+        moved = text[4:] + text[:4]
+        return int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
+
+    for k in range(100):
+        text = f"DE{k:02d}370400440532013000"
+        assert [s[2] for s in P.find(text) if s[2] == "iban"] == ["iban"] * slow(text)
+
+
 def test_redact_keeps_the_other_columns(spark):
     df = spark.createDataFrame([(1, "to a@b.cd", "x"), (2, None, "y")], "doc_id long, text string, lang string")
     assert sorted(tuple(r) for r in P.redact(df).collect()) == [(1, "to <EMAIL>", "x"), (2, None, "y")]
