@@ -9,6 +9,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -28,30 +29,72 @@ ASCII_LOWER[65:91] += 32
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh temporary one where none is set."""
+    """The cluster's shared folder. Where none is set, a fresh temporary one on a single
+    machine; a cluster without one is an error, since its executors share no local disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_MADE: list[list[str]] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _MADE:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Delete, at the end, all scratch tables that were made within. Frames that operators
+    return read such tables: write what is to be kept to a path of one's own first."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE[:] = [m for m in _MADE if m is not made]
+        discard(spark, *made)
+
+
+@contextmanager
+def _merged(spark: SparkSession):
+    """Adaptive execution merges partitions up to its advisory size, not just down to one per core."""
+    key = "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
+def durable(df: DataFrame, name: str, few: bool = False, gather: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives
-    lost executors, and lets later steps prune columns."""
-    return durable_at(df, name)[0]
+    lost executors, and lets later steps prune columns. ``few``: the table is small, or cheap
+    to compute; it is written in as few files as its bytes need. ``gather``: the same for a small table
+    that takes many tasks to compute, which a shuffle parts from the writing."""
+    return durable_at(df, name, few, gather)[0]
 
 
-def durable_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+def durable_at(df: DataFrame, name: str, few: bool = False, gather: bool = False) -> tuple[DataFrame, str]:
     """As ``durable``, and the path, for ``discard``."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    writer = (df.hint("rebalance") if gather else df).write.option("compression", "zstd")
+    if few or gather:
+        with _merged(spark):
+            writer.parquet(path)
+    else:
+        writer.parquet(path)
     return spark.read.schema(schema).parquet(path), path
 
 

@@ -18,24 +18,24 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     folder, so that lost executors cost a round at most. Loops and repeated edges do no
     harm; no edges, no rows."""
     spark = edges.sparkSession
-    left, path = durable_at(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), f"{name}-edges")
+    left, path = durable_at(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), f"{name}-edges", few=True)
     labels, labels_path = None, None
     while left.limit(1).count():
         both = left.select(F.col("a").alias("v"), F.col("b").alias("u")).unionByName(left.select(F.col("b").alias("v"), F.col("a").alias("u")))
-        hooked, hooked_path = durable_at(both.groupBy("v").agg(F.least("v", F.min("u")).alias("p")), f"{name}-hooks")
+        hooked = both.groupBy("v").agg(F.least("v", F.min("u")).alias("p"))
         up = hooked.select(F.col("v").alias("p"), F.col("p").alias("q"))
-        parent, parent_path = durable_at(hooked.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p")), f"{name}-parents")
-        at = parent.select(F.col("v").alias("component"), F.col("p"))
+        parent, parent_path = durable_at(hooked.join(up, "p", "left").select("v", F.coalesce("q", "p").alias("p")), f"{name}-parents", few=True)
         if labels is None:
-            merged = parent.select(F.col("v").alias("node"), F.col("p").alias("component"))
+            new_labels, new_path = parent.select(F.col("v").alias("node"), F.col("p").alias("component")), parent_path
         else:
-            merged = labels.join(at, "component", "left").select("node", F.coalesce("p", "component").alias("component"))
-        new_labels, new_path = durable_at(merged, name)
+            at = parent.select(F.col("v").alias("component"), F.col("p"))
+            new_labels, new_path = durable_at(labels.join(at, "component", "left").select("node", F.coalesce("p", "component").alias("component")), name, few=True)
         pa, pb = parent.select(F.col("v").alias("a"), F.col("p").alias("x")), parent.select(F.col("v").alias("b"), F.col("p").alias("y"))
         rest = left.join(pa, "a").join(pb, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        new_left, new_edges = durable_at(rest, f"{name}-edges")
-        discard(spark, path, hooked_path, parent_path, *([labels_path] if labels_path else []))
+        new_left, new_edges = durable_at(rest, f"{name}-edges", few=True)
+        discard(spark, path, *({parent_path, labels_path} - {new_path, None}))
         left, path, labels, labels_path = new_left, new_edges, new_labels, new_path
+    discard(spark, path)
     if labels is None:
         return spark.createDataFrame([], "node long, component long")
     return labels
