@@ -56,3 +56,32 @@ def test_empty_and_fewer_than_k(spark):
     assert V.nearest_vectors(spark.createDataFrame([(0, [1.0])], VECS)).count() == 0
     rows = [(0, [1.0]), (1, [2.0])]
     assert [tuple(x) for x in V.nearest_vectors(spark.createDataFrame(rows, VECS)).collect()] == brute(rows)
+
+
+def brute_by_row(rows, every=50, k=5):
+    import math
+
+    fine = [(n, i, [math.floor(256 * x) for x in v]) for n, (i, v) in enumerate(rows)]
+    out = []
+    for n, q, v in fine:
+        if q % every == 0:
+            best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for m, i, w in fine if m != n)[:k]
+            out += [(q, at + 1, i, -s) for at, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_each_row_of_a_repeated_id_is_a_query_and_a_candidate(spark):
+    r = random.Random(4)
+    rows = [(i // 3 * 10, [r.uniform(-1, 1) for _ in range(4)]) for i in range(90)]
+    rows += [(0, [1.0, 0.0, 0.0, 0.0]), (0, [-1.0, 0.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0, 0.0])]
+    got = sorted(tuple(x) for x in V.nearest_vectors(spark.createDataFrame(rows, VECS).repartition(3)).collect())
+    assert got == brute_by_row(rows) and len(got) == 5 * sum(i % 50 == 0 for i, _ in rows)
+
+
+def test_copied_blocks_change_nothing(spark):
+    r = random.Random(5)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3)]) for i in range(300)]
+    q = V.durable(V.quantized(spark.createDataFrame(rows, VECS), "embedding", "vec_id"), "test-vectors")
+    queries = q.where("vec_id % 5 = 0").selectExpr("row", "vec_id AS query_id", "v")
+    got = V.search(V.build_index(q, pivots=4, block_rows=32), queries, 5, queries_a_copy=3)
+    assert sorted(tuple(x) for x in got.collect()) == brute(rows, every=5)
