@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.llm.bloom import possible
 from lexmill.llm.common import durable, open_fs, out_of_the_way, scratch_path, small_batches
 
 #: Copies of each original that the join with its revisits is salted over.
@@ -25,6 +26,8 @@ SALTS = 16
 #: A range read goes on over gaps up to GAP bytes, and takes up to RANGE bytes.
 GAP = 64 << 10
 RANGE = 8 << 20
+#: Archive bytes that one task reads, about.
+TASK_BYTES = 32 << 20
 #: Fixed value: the date of records whose pages have none.
 DATE = "2000-01-01T00:00:00Z"
 
@@ -45,8 +48,10 @@ def with_originals(pages: DataFrame, *, page_id: str = "page_id", payload: str =
     responses. Null payloads count as empty. Null page_ids come last; among repeated
     page_ids any one row is the response. Result columns in ``pages`` are replaced.
 
-    Only payloads that occur twice go through the join; each original is copied
-    ``salts`` times, so that a payload with a third of all rows is dealt to as many tasks."""
+    ``pages`` is read more than once and must give the same rows in the same order each time, as
+    files and written tables do. Payloads stay where they are, but for those whose digest a
+    blocked Bloom filter of the repeated digests lets through: these are joined, each original
+    copied ``salts`` times, so that a payload with a third of all rows is dealt to as many tasks."""
     out_of_the_way(pages, page_id, payload)
     added = ("digest", "payload_bytes", "record_type", "refers_to")
     body = F.coalesce(F.col(f"`{payload}`"), F.lit(""))
@@ -57,11 +62,16 @@ def with_originals(pages: DataFrame, *, page_id: str = "page_id", payload: str =
         F.struct(F.col(f"`{page_id}`").isNull().alias("last"), F.col(f"`{page_id}`").alias("id"), F.monotonically_increasing_id().alias("row")).alias("__self"),
     )
     groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.min("__self").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    groups = durable(groups.drop("__n"), "repeated-payloads", few=True)
     copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64("__self.row"), F.lit(salts)).cast("int"))
+    maybe = possible(groups, "digest", "digest")
+    tested = rows.withColumn("__maybe", maybe)
+    salted = tested.where("__maybe").withColumn("__salt", F.pmod(F.xxhash64("__self.row"), F.lit(salts)).cast("int"))
     joined = salted.join(copies, ["digest", "payload_bytes", "__salt"], "left")
     again = F.col("__first").isNotNull() & (F.col("__first") != F.col("__self")) & (F.col("payload_bytes") >= min_bytes)
-    return joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("__first.id"))).drop("__self", "__first", "__n", "__salt")
+    joined = joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("__first.id")))
+    alone = tested.where(~F.col("__maybe")).withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast(pages.schema[page_id].dataType))
+    return alone.drop("__self", "__maybe").unionByName(joined.drop("__self", "__maybe", "__first", "__salt"))
 
 
 def _safe(url: str) -> str:
@@ -163,14 +173,17 @@ def coalesced(rows, gap: int = GAP, most: int = RANGE):
         yield run
 
 
-def read_records(index: DataFrame, directory: str, *, gap: int = GAP, most: int = RANGE, payload: bool = True) -> DataFrame:
+def read_records(index: DataFrame, directory: str, *, gap: int = GAP, most: int = RANGE, payload: bool = True, task_bytes: int = TASK_BYTES) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to and, with
     ``payload``, the payload of the records that ``index`` (file, offset, length, ...) selects.
 
     A response's payload is checked against its digest; a damaged record raises. An
-    index row selected twice gives its record twice. Revisits have a null payload."""
+    index row selected twice gives its record twice. Revisits have a null payload. The number of
+    tasks follows from the bytes that are to be read, not from the size of the index."""
     out_of_the_way(index, "file", "offset", "length")
-    ranges = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-total // task_bytes))
+    ranges = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + ["payload"] * payload
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
