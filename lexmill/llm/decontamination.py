@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import ASCII_LOWER, gram_hashes, out_of_the_way, small_batches, text_slices, word_hashes, words_of
+from lexmill.llm.common import ASCII_LOWER, durable, gram_hashes, out_of_the_way, small_batches, text_slices, word_hashes, words_of
 
 WINDOW = 10
 #: Benchmark text in one set of tables; a larger benchmark is searched in several passes.
@@ -114,13 +114,12 @@ def gram_codes(hashes: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
 
 
 def _tables_of(benchmark: DataFrame, item_id: str, text: str, window: int, pass_bytes: int):
-    """One list of tables per pass, each from a bounded share of the benchmark's text."""
+    """The number of passes, and one list of tables per pass, each from a bounded share of the benchmark's text."""
     items = benchmark.select(F.col(f"`{item_id}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     passes = max(1, -(-total // pass_bytes))
     part = F.pmod(F.xxhash64("id", "text"), F.lit(passes))
-    for k in range(passes):
-        yield build_tables([(r["id"], r["text"]) for r in items.where(part == k).collect()], window)
+    return passes, (build_tables([(r["id"], r["text"]) for r in items.where(part == k).collect()], window) for k in range(passes))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, pass_bytes: int = PASS_BYTES) -> DataFrame:
@@ -130,7 +129,9 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     occurrences of one item, ordered by place and item. Null and empty texts have no words;
     repeated rows are marked alike; an empty benchmark marks nothing; items that repeat an
     item_id count as one. Result columns in ``docs`` are replaced. The benchmark is searched
-    whole, in as many passes as its size needs; each pass's tables are broadcast."""
+    whole, in as many passes as its size needs; each pass's tables are broadcast, and between passes
+    the rows are written, so that a task never holds more than one pass's. A very long text is
+    searched whole, in slices of its words' hashes."""
     out_of_the_way(docs, text)
     out_of_the_way(benchmark, item_id, item_text)
     spark = docs.sparkSession
@@ -143,7 +144,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     schema = f"{fields}, n_words long, n_hit long, matches array<struct<first_word:bigint,last_word:bigint,item_id:string>>"
     kind = pa.list_(pa.struct([("first_word", pa.int64()), ("last_word", pa.int64()), ("item_id", pa.string())]))
     out = docs.select(*[F.col(f"`{c}`") for c in keep])
-    for k, tables in enumerate(_tables_of(benchmark, item_id, item_text, window, pass_bytes)):
+    passes, each = _tables_of(benchmark, item_id, item_text, window, pass_bytes)
+    for k, tables in enumerate(each):
         shared = spark.sparkContext.broadcast(tables)
 
         def run(batches, shared=shared, later=k > 0):
@@ -170,6 +172,8 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(matches, kind)], names=names)
 
         out = out.mapInArrow(run, schema)
+        if k + 1 < passes:
+            out = durable(out, f"benchmark-pass-{k}")
     return out
 
 
