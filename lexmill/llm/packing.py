@@ -22,8 +22,10 @@ from lexmill.llm.common import durable, out_of_the_way, small_batches
 from lexmill.llm.tokens import END_ID, ids_of, vocabulary
 
 LENGTH = 1024
-#: Buckets that ranks are counted in; any number gives the same packing quality.
-BUCKETS = 256
+#: Pieces of one length are ranked in buckets of about so many; more, once the driver's table would
+#: have over MAX_BUCKETS rows. Any number gives the same packing quality.
+BUCKET_ROWS = 4096
+MAX_BUCKETS = 250_000
 #: Token bytes in one Arrow batch on the way out.
 OUT_BYTES = 8 << 20
 
@@ -145,41 +147,47 @@ def plan_best_fit(histogram: dict[int, int], length: int = LENGTH) -> list[Run]:
     return plan
 
 
-def place_pieces(pieces: DataFrame, *, length: int = LENGTH, buckets: int = BUCKETS) -> DataFrame:
+def place_pieces(pieces: DataFrame, *, length: int = LENGTH, bucket_rows: int = BUCKET_ROWS, max_buckets: int = MAX_BUCKETS) -> DataFrame:
     """``pieces`` (doc_id, piece, length and any other columns) with sequence_id and
     offset. Every row is placed; rows alike in all columns are placed one by one.
     Columns called sequence_id or offset are replaced; no rows in, no rows out.
 
-    ``pieces`` is read twice and must give the same rows each time (a written table)."""
+    ``pieces`` is read more than once and must give the same rows each time (a written table)."""
     out_of_the_way(pieces, "doc_id", "piece", "length")
     spark = pieces.sparkSession
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
-    rows = pieces.select(*[F.col(f"`{c}`") for c in keep], F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(buckets)).alias("__bucket"))
-    counts = rows.groupBy("length", "__bucket").count()
-    before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.withColumn("__base", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    # at most length x buckets rows, whatever the input
-    base = bases.select("length", "__bucket", "__base", "count").toArrow()
-    sizes, bucket, first, n = (base.column(c).to_numpy() for c in ("length", "__bucket", "__base", "count"))
+    totals = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``length`` rows
+    bucket_rows = max(bucket_rows, sum(totals.values()) // max_buckets)
+    buckets = [max(1, -(-totals.get(size, 0) // bucket_rows)) for size in range(length + 1)]
+    of_length = F.element_at(F.array(*map(F.lit, buckets)), F.col("length").cast("int") + 1)
+    number = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())
+    rows = pieces.select(*[F.col(f"`{c}`") for c in keep], F.pmod(number, of_length).cast("int").alias("__bucket"))
+    # at most length + max_buckets rows, whatever the input
+    base = rows.groupBy("length", "__bucket").count().orderBy("length", "__bucket").toArrow()
+    sizes, bucket, n = (base.column(c).to_numpy() for c in ("length", "__bucket", "count"))
+    heads = np.concatenate(([0], np.cumsum(buckets)))
+    starts = np.zeros(heads[-1], np.int64)
+    if len(n):
+        before = np.cumsum(n) - n
+        first = np.flatnonzero(np.concatenate(([True], sizes[1:] != sizes[:-1])))
+        starts[heads[sizes] + bucket] = before - np.repeat(before[first], np.diff(np.append(first, len(n))))
     histogram: dict[int, int] = {}
     for size, many in zip(sizes.tolist(), n.tolist(), strict=True):
         histogram[size] = histogram.get(size, 0) + many
     plan = plan_best_fit(histogram, length)
-    starts = np.zeros((length + 1, buckets), np.int64)
-    starts[sizes, bucket] = first
     table: dict[int, tuple] = {}
     for size in histogram:
         own = [r for r in plan if r.length == size]
         table[size] = tuple(np.array([getattr(r, k) for r in own], np.int64) for k in ("rank", "bin", "each", "offset"))
-    shared = spark.sparkContext.broadcast((starts, table))
+    shared = spark.sparkContext.broadcast((starts, heads, table))
     ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket", "length").orderBy("doc_id", "piece")) - 1)
 
     def run(batches):
-        starts, table = shared.value
+        starts, heads, table = shared.value
         for batch in batches:
             at = {name: i for i, name in enumerate(batch.schema.names)}
             size = batch.column(at["length"]).to_numpy().astype(np.int64)
-            rank = batch.column(at["__rank"]).to_numpy() + starts[size, batch.column(at["__bucket"]).to_numpy()]
+            rank = batch.column(at["__rank"]).to_numpy() + starts[heads[size] + batch.column(at["__bucket"]).to_numpy()]
             seq, off = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             for x in np.unique(size):
                 own = np.flatnonzero(size == x)
