@@ -195,16 +195,29 @@ def section_kind(heading) -> Column:
     return out
 
 
+def let(x: Column, f) -> Column:
+    """f(x), with x computed once, however often f names it, within lambdas too."""
+    return F.transform(F.array(x), f)[0]
+
+
 def word_grams(x, n: int = 5) -> Column:
     """Distinct runs of n blank-separated words; empty for fewer words."""
-    words = F.filter(F.split(_c(x), " "), lambda w: w != "")
-    runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    def grams(words):
+        runs = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+
+    return let(F.filter(F.split(_c(x), " "), lambda w: w != ""), grams)
 
 
 def gram_jaccard(a: Column, b: Column) -> Column:
     """Of two arrays of distinct grams; 1 if both are empty."""
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b))))
+
+    def score(ab):
+        x, y = ab["x"], ab["y"]
+        return F.when((F.size(x) == 0) & (F.size(y) == 0), F.lit(1.0)).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.lit(1), F.size(F.array_union(x, y))))
+
+    return let(F.struct(a.alias("x"), b.alias("y")), score)
 
 
 def numbers(x) -> Column:

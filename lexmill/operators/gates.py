@@ -68,4 +68,10 @@ def supported_by_body(claim, body) -> Column:
     inside = lambda a, b: F.size(F.array_except(a, b)) == 0
     a, b = F.array_distinct(F.regexp_extract_all(x, F.lit(token), 1)), F.array_distinct(F.regexp_extract_all(y, F.lit(token), 1))
     enough = (F.size(a) >= 3) & (F.size(F.array_intersect(a, b)) >= F.greatest(F.lit(3), F.floor((F.size(a) + 1) / 2)))
-    return ((x != "") & F.contains(y, x)) | (inside(T.numbers(x), T.numbers(y)) & inside(T.identifiers(claim), T.identifiers(body)) & enough)
+    return ((x != "") & F.contains(y, x)) | (inside(T.numbers(x), T.numbers(y)) & inside(F.transform(T.identifiers(claim), F.lower), F.transform(T.identifiers(body), F.lower)) & enough)
+
+
+def summary_valid(summary, source, refers: Column, claims: Column) -> Column:
+    """Whether a summary refers to all claims and to no other, and takes every number and identifier from its source."""
+    complete = (F.size(F.array_except(claims, refers)) == 0) & (F.size(F.array_except(refers, claims)) == 0)
+    return complete & T.facts_kept(summary, source)

@@ -2,49 +2,49 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def pack_sizes(sizes: str, limit: int) -> Column:
-    """For an ordered array of (pos, size): an array of (pos, size, bin), bins from 1.
-
-    A new bin starts when the running size would pass ``limit`` and the bin has something;
-    a piece larger than ``limit`` closes its bin. A running sum with reset, as one fold."""
-    start = F.struct(F.lit(1).alias("bin"), F.lit(0.0).alias("sum"), F.array().cast("array<struct<pos:bigint,size:double,bin:int>>").alias("out"))
-
-    def step(acc, x):
-        size = x["size"].cast("double")
-        fresh = (acc["sum"] > 0) & (acc["sum"] + size > limit)
-        bin_no = F.when(fresh, acc["bin"] + 1).otherwise(acc["bin"])
-        total = F.when(fresh, size).otherwise(acc["sum"] + size)
-        out = F.concat(acc["out"], F.array(F.struct(x["pos"].cast("bigint").alias("pos"), size.alias("size"), bin_no.alias("bin"))))
-        closed = size > limit
-        return F.struct(F.when(closed, bin_no + 1).otherwise(bin_no).alias("bin"), F.when(closed, F.lit(0.0)).otherwise(total).alias("sum"), out.alias("out"))
-
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+def _packed(rows: DataFrame, group: str, pos: str, size: str, limit: float, most: int | None) -> DataFrame:
+    """group, pos, size, bin. One sorted pass over each task's rows; a group's rows follow one another,
+    and nothing but the open bin's sums is kept between them."""
+    kinds = dict(rows.dtypes)
+    key = kinds[group]
+
+    def walk(batches):
+        last, number, total, count = object(), 0, 0.0, 0
+        for batch in batches:
+            bins = []
+            for g, x in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if g != last:
+                    last, number, total, count = g, 1, 0.0, 0
+                if count and (total + x > limit and (total > 0 or most is not None) or most is not None and count >= most):
+                    number, total, count = number + 1, 0.0, 0
+                bins.append(number)
+                total, count = total + x, count + 1
+                if most is None and x > limit:
+                    number, total, count = number + 1, 0.0, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bins, pa.int32())], names=["g", "pos", "size", "bin"])
+
+    each = rows.select(F.col(group).alias("g"), F.col(pos).cast("long").alias("pos"), F.coalesce(F.col(size).cast("double"), F.lit(0.0)).alias("size"))
+    done = each.repartition("g").sortWithinPartitions("g", "pos", "size").mapInArrow(walk, f"g {key}, pos long, size double, bin int")
+    return done.select(F.col("g").alias(group), F.col("pos").alias(pos), F.col("size").alias(size), "bin")
 
 
 def pack_groups(rows: DataFrame, group: str, pos: str, size: str, limit: int) -> DataFrame:
-    """group, pos, size, bin: each group's rows, in order, packed into bins."""
-    ordered = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(size).alias("size")))).alias("s"))
-    return ordered.select(group, F.explode(pack_sizes("s", limit)).alias("p")).select(group, F.col("p.pos").alias(pos), F.col("p.size").alias(size), F.col("p.bin").alias("bin"))
-
+    """group, pos, size, bin: each group's rows, in order, packed into bins from 1.
 
-def pack_two(rows: DataFrame, group: str, pos: str, size: str, most: int, limit: int) -> DataFrame:
-    """As ``pack_groups`` with a second limit: at most ``most`` rows in a bin."""
-    ordered = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(size).alias("size")))).alias("s"))
-    start = F.struct(F.lit(1).alias("bin"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.array().cast("array<struct<pos:bigint,size:double,bin:int>>").alias("out"))
+    A new bin starts when the running size would pass ``limit`` and the bin has something;
+    a piece larger than ``limit`` closes its bin. A group of any size is packed in time in
+    proportion to its rows, and in bounded memory."""
+    return _packed(rows, group, pos, size, limit, None)
 
-    def step(acc, x):
-        size = x["size"].cast("double")
-        fresh = (acc["n"] > 0) & ((acc["sum"] + size > limit) | (acc["n"] >= most))
-        bin_no = F.when(fresh, acc["bin"] + 1).otherwise(acc["bin"])
-        out = F.concat(acc["out"], F.array(F.struct(x["pos"].cast("bigint").alias("pos"), size.alias("size"), bin_no.alias("bin"))))
-        return F.struct(bin_no.alias("bin"), F.when(fresh, size).otherwise(acc["sum"] + size).alias("sum"), F.when(fresh, F.lit(1)).otherwise(acc["n"] + 1).alias("n"), out.alias("out"))
 
-    packed = F.aggregate("s", start, step, lambda acc: acc["out"])
-    return ordered.select(group, F.explode(packed).alias("p")).select(group, F.col("p.pos").alias(pos), F.col("p.size").alias(size), F.col("p.bin").alias("bin"))
+def pack_two(rows: DataFrame, group: str, pos: str, size: str, most: int, limit: int) -> DataFrame:
+    """As ``pack_groups`` with a second limit, at most ``most`` rows in a bin; a large piece leaves its bin open."""
+    return _packed(rows, group, pos, size, limit, most)
 
 
 def part_links(parts: DataFrame, topic: str, order: str, path: str) -> DataFrame:
@@ -86,11 +86,18 @@ def sections(pages: DataFrame, key: str, text: str) -> DataFrame:
     return rows.groupBy(key, "section_no").agg(F.max(heading).alias("heading"), F.max(level).alias("level"), F.count_if(~head).alias("n_lines"))
 
 
-def parents(fragments: DataFrame, key: str, pos: str, level: str) -> DataFrame:
-    """``fragments`` with parent: the position of the nearest heading before it with a smaller level."""
+def nearest_above(pos: str, level: str, levels: int = 6) -> Column:
+    """For a window function's row: the position of the nearest heading before it with a smaller level.
+    One running value for each level of headings, none of a group's history."""
+    return F.greatest(*[F.when(F.coalesce(F.col(level), F.lit(levels + 1)) > k, F.col(f"__h{k}")) for k in range(1, levels + 1)], F.lit(None).cast("long"))
+
+
+def parents(fragments: DataFrame, key: str, pos: str, level: str, levels: int = 6) -> DataFrame:
+    """``fragments`` with parent: the position of the nearest heading before it with a smaller level
+    (1 to ``levels``; null for rows that are no heading, below all of them)."""
     before = Window.partitionBy(key).orderBy(pos).rowsBetween(Window.unboundedPreceding, -1)
-    past = F.collect_list(F.struct(F.col(pos).alias("p"), F.col(level).alias("l"))).over(before)
-    return fragments.withColumn("parent", F.array_max(F.transform(F.filter(past, lambda x: x["l"] < F.col(level)), lambda x: x["p"])))
+    last = {f"__h{k}": F.last(F.when(F.col(level) == k, F.col(pos).cast("long")), ignorenulls=True).over(before) for k in range(1, levels + 1)}
+    return fragments.withColumns(last).withColumn("parent", nearest_above(pos, level, levels).cast(fragments.schema[pos].dataType)).drop(*last)
 
 
 def unique_slugs(rows: DataFrame, base: str, order: str) -> DataFrame:

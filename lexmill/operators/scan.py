@@ -49,10 +49,9 @@ def fragments(docs: DataFrame, key: str, text: str) -> DataFrame:
     level = F.when(T.marker("line") == "heading", F.length(F.regexp_extract(T.strip("line"), "^(#+)", 1)))
     kind = F.coalesce(T.marker("line"), F.when(T.strip("line").startswith("|"), "table").otherwise("paragraph"))
     rows = lines.select(key, (F.col("p") + 1).alias("line_no"), kind.alias("content_type"), level.alias("level"))
-    before = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    heads = F.collect_list(F.when(F.col("level").isNotNull(), F.struct("line_no", "level"))).over(before)
-    above = F.filter(heads, lambda h: h["level"] < F.coalesce(F.col("level"), F.lit(7)))
-    return rows.withColumn("parent", F.array_max(F.transform(above, lambda h: h["line_no"])))
+    from lexmill.operators.layout import parents
+
+    return parents(rows, key, "line_no", "level")
 
 
 def typed_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -87,18 +86,20 @@ def copied_run(source, body, sentences: int = 3, chars: int = 240) -> Column:
 
     Runs of sentences + 1 and single sentences decide the first rule; for the second, runs up to that
     length suffice, since a longer one breaks the first."""
-    parts = F.transform(T.sentences(source), lambda s: T.normalize_for_gate(s))
-    whole = T.normalize_for_gate(body)
 
-    def hit(n):
+    def hit(parts, whole, n):
         runs = F.transform(F.sequence(F.lit(1), F.size(parts) - n + 1), lambda i: T.normalize_for_gate(F.array_join(F.slice(parts, i, F.lit(n)), " ")))
         bad = F.exists(runs, lambda r: F.contains(whole, r) & (F.lit(n > sentences) | (F.char_length(r) > chars)))
         return F.when(F.size(parts) >= n, bad).otherwise(F.lit(False))
 
-    out = hit(1)
-    for n in range(2, sentences + 2):
-        out = out | hit(n)
-    return out
+    def any_hit(x):
+        out = hit(x["parts"], x["whole"], 1)
+        for n in range(2, sentences + 2):
+            out = out | hit(x["parts"], x["whole"], n)
+        return out
+
+    parts = F.transform(T.sentences(source), lambda s: T.normalize_for_gate(s))
+    return T.let(F.struct(parts.alias("parts"), T.normalize_for_gate(body).alias("whole")), any_hit)
 
 
 def safe_prefix(flags: str) -> Column:

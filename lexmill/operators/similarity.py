@@ -44,29 +44,47 @@ def stored(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def token_frequency(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+
+
 def ordered_prefixes(sets: DataFrame, key: str, threshold: float, frequency: DataFrame) -> DataFrame:
-    """key, n, tok: the rarest n - ceil(t n) + 1 tokens of each set; two sets that are similar share one."""
+    """key, n, place, tok: the rarest n - ceil(t n) + 1 tokens of each set, rarest first; two sets that are
+    similar share one."""
     each = sets.select(key, "n", F.explode("toks").alias("tok")).join(frequency, "tok")
     ranked = each.groupBy(key, "n").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("o"))
     keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1
-    return ranked.select(key, "n", F.explode(F.slice("o", F.lit(1), keep.cast("int"))).alias("e")).select(key, "n", F.col("e.tok").alias("tok"))
-
-
-def token_frequency(sets: DataFrame) -> DataFrame:
-    return sets.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+    return ranked.select(key, "n", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("place", "e")).select(key, "n", "place", F.col("e.tok").alias("tok"))
 
 
 def similar_pairs(rows: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """a, b, score for all pairs a < b of rows whose token sets have a Jaccard similarity of at
-    least ``threshold`` (above 0). Exact: prefix and length filters, then verification."""
-    sets = stored(token_sets(rows, key, text))
+    least ``threshold`` (above 0). Exact: tokens are compared by 64-bit hashes.
+
+    Rows with equal sets are one row for the join and are expanded at the end. The join is on the
+    tokens of prefixes; a pair passes a token only where the sizes, and what follows the token in
+    both sets, leave room for enough common ones, which holds at the first one that they share."""
+    hashed = F.transform(T.tokens(text), lambda x: F.xxhash64(x))
+    own = spread(rows.select(key, text)).select(F.col(key), F.array_sort(hashed).alias("toks")).withColumn("n", F.size("toks")).where("n > 0")
+    own = stored(own.withColumn("same", F.struct(F.xxhash64("toks"), F.xxhash64(F.lit(1), "toks"), "n")))
+    sets = own.groupBy("same").agg(F.min(key).alias(key), F.first("toks").alias("toks"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    sets = stored(sets)
     prefix = ordered_prefixes(sets, key, threshold, token_frequency(sets))
-    a, b = prefix.select(F.col(key).alias("a"), F.col("n").alias("na"), "tok"), prefix.select(F.col(key).alias("b"), F.col("n").alias("nb"), "tok")
-    sized = (F.col("nb") >= F.lit(threshold) * F.col("na") - 1e-9) & (F.col("na") >= F.lit(threshold) * F.col("nb") - 1e-9)
-    pairs = a.join(b, "tok").where((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    a, b = (prefix.select("tok", F.col(key).alias(k), F.col("n").alias(f"n{k}"), (F.col("n") - F.col("place")).alias(f"r{k}")) for k in "ab")
+    least = F.ceil(F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - 1e-9)
+    room = (F.col("ra") >= least) & (F.col("rb") >= least)
+    pairs = a.join(b, "tok").where((F.col("a") < F.col("b")) & room).select("a", "b").distinct()
     left = pairs.join(sets.select(F.col(key).alias("a"), F.col("toks").alias("x")), "a")
     both = left.join(sets.select(F.col(key).alias("b"), F.col("toks").alias("y")), "b")
-    return both.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
+    near = both.select("a", "b", T.jaccard(F.col("x"), F.col("y")).alias("score")).where(F.col("score") >= threshold)
+    # back to rows: each row of either set, and the rows of one set among themselves
+    several = sets.where("copies > 1").select("same", F.col(key).alias("rep"))
+    members = own.join(several, "same").select("rep", F.col(key).alias("row"))
+    for side in ("a", "b"):
+        one = members.select(F.col("rep").alias(side), "row")
+        near = near.join(one, side, "left").withColumn(side, F.coalesce("row", side)).drop("row")
+    twins = members.select("rep", F.col("row").alias("a")).join(members.select("rep", F.col("row").alias("b")), "rep").where("a < b").select("a", "b", F.lit(1.0).alias("score"))
+    return near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score").unionByName(twins)
 
 
 def overlap_scores(left: DataFrame, lkey: str, right: DataFrame, rkey: str) -> DataFrame:

@@ -10,7 +10,6 @@ from lexmill.functions import unicode as U
 from lexmill.operators import layout as L
 from lexmill.operators import links as K
 from lexmill.operators import scan as S
-from lexmill.operators.gates import supported_by_body
 from lexmill.operators.similarity import top_k
 from lexmill.plans import runner
 from lexmill.plans.base import CLAIMS, SOURCES, Tables, query
@@ -68,25 +67,6 @@ def _(spark, d):
     return c.groupBy("conv_id").agg(F.sum(F.col("line_end") - F.col("line_start") + 1).alias("n_lines"))
 
 
-@query("lay_06_split_pages", "SELECT doc_id, CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_lines, CAST(ceil(len(string_split(text, chr(10))) / 10) AS BIGINT) AS n_pages FROM documents WHERE NOT regexp_matches(text, '(?m)^#{1,6}\\s') AND NOT suffix(text, chr(10))")
-def _(spark, d):
-    docs = Tables(spark, d).documents.where(r"NOT text RLIKE '(?m)^#{1,6}\\s' AND NOT endswith(text, '\n')")
-    p = S.split_pages(docs, "doc_id", "text", 10)
-    return p.groupBy("doc_id").agg(F.sum(F.col("line_end") - F.col("line_start") + 1).alias("n_lines"), F.count("*").alias("n_pages"))
-
-
-@query("sim_07_near_duplicate_gate", "SELECT conv_id, turn, length(text) > 80 AS duplicate FROM conversations")
-def _(spark, d):
-    g = T.word_grams(T.normalize_for_gate("text"))
-    score = T.gram_jaccard(g, T.word_grams(T.normalize_for_gate(F.concat("text", F.lit(" ")))))
-    return Tables(spark, d).conversations.select("conv_id", "turn", ((F.char_length("text") > 80) & (score >= 0.92)).alias("duplicate"))
-
-
-@query("sim_08_copied_run", "SELECT doc_id, length(text) > 0 AS whole_copied FROM documents WHERE length(text) > 2000")
-def _(spark, d):
-    return Tables(spark, d).documents.where("length(text) > 2000").select("doc_id", S.copied_run("text", "text").alias("whole_copied"))
-
-
 @query("sim_15_lineage_split", "SELECT DISTINCT 'lineage-' || label AS lineage FROM embeddings")
 def _(spark, d):
     # lineages are labels: a handful of groups of cases, not cases
@@ -170,11 +150,6 @@ def _(spark, d):
     return Tables(spark, d).documents.groupBy("source").agg(F.when(F.bool_or(F.col("text").rlike("(?i)(error|fail|erreur|fehler)")), "documented").otherwise("source_not_documented").alias("status"))
 
 
-@query("scl_35_summary_valid", "SELECT doc_id, true AS valid FROM documents")
-def _(spark, d):
-    return Tables(spark, d).documents.select("doc_id", T.facts_kept(F.split("text", "\n")[0], "text").alias("valid"))
-
-
 @query("scl_39_semantic_form", r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '\b(and|the|of)\b', ' ', 'g')) AS form FROM part")
 def _(spark, d):
     return Tables(spark, d).part.select("p_partkey", U.semantic_form(F.concat("p_name", F.lit(".MD"))).alias("form"))
@@ -262,17 +237,6 @@ def _(spark, d):
     return upsert(e, e.limit(0), ["user_id"], "event_id").select("user_id", "topic", "first_seq")
 
 
-@query("gte_03_body_gate", "SELECT conv_id, turn, CASE WHEN length(text) <= 80 THEN 'short' ELSE 'copied' END AS verdict FROM conversations WHERE length(text) <= 80 OR length(text) > 600")
-def _(spark, d):
-    v = F.when(F.char_length("text") <= 80, "short").when(S.copied_run("text", "text"), "copied").otherwise("passed")
-    return Tables(spark, d).conversations.where("length(text) <= 80 OR length(text) > 600").select("conv_id", "turn", v.alias("verdict"))
-
-
-@query("gte_09_trust_signals", f"WITH {SOURCES} SELECT source, count(*) AS n, count(*) FILTER (content_hash <> sha256(text)) AS drifted FROM src GROUP BY 1")
-def _(spark, d):
-    return Tables(spark, d).sources().groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("content_hash") != F.sha2("text", 256)).alias("drifted"))
-
-
 @query("gte_10_question_oracle", f"WITH {MD_SQL} SELECT conv_id, regexp_matches(md, '(?m)^## user ') AS asked, regexp_matches(md, '(?m)^## assistant ') AS answered FROM md")
 def _(spark, d):
     return markdown(Tables(spark, d)).select("conv_id", F.col("md").rlike("(?m)^## user ").alias("asked"), F.col("md").rlike("(?m)^## assistant ").alias("answered"))
@@ -347,11 +311,6 @@ def _(spark, d):
     return Tables(spark, d).documents.select("doc_id", c.alias("score"), F.when(c == 1, "complete").otherwise("partial").alias("status"))
 
 
-@query("ext_44_claim_support", "SELECT item_id, true AS supported FROM benchmark")
-def _(spark, d):
-    return Tables(spark, d).benchmark.select("item_id", supported_by_body(T.sentences("text")[0], F.col("text")).alias("supported"))
-
-
 @query("ext_46_topic_examples", "SELECT p_partkey, kind FROM (SELECT p_partkey, 'small' AS kind FROM part WHERE p_size < 5 ORDER BY p_partkey LIMIT 10) UNION ALL SELECT p_partkey, kind FROM (SELECT p_partkey, 'large' AS kind FROM part WHERE p_size >= 45 ORDER BY p_partkey LIMIT 10)")
 def _(spark, d):
     p = Tables(spark, d).part

@@ -9,13 +9,13 @@ from lexmill.plans.base import Tables, query
 
 EDGE_SQL = """links AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
 local AS (SELECT page_id, pos, regexp_replace(target, '#.*$', '') AS target FROM links WHERE regexp_replace(target, '#.*$', '') <> '' AND NOT regexp_matches(target, '^(?i)(https?|mailto|ftp|data):'))"""
-SUPPLY_SQL = "e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM supplier) AS dst FROM lineitem WHERE l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity = 50)"
+SUPPLY_SQL = "e AS (SELECT DISTINCT l_suppkey AS src, (l_partkey * 7 + l_suppkey) % (SELECT count(*) FROM supplier) AS dst FROM lineitem)"
 
 
 def supply(t: Tables):
-    """src, dst, pos: suppliers, linked through the parts that came back."""
+    """src, dst, pos: suppliers, linked through the parts that they delivered, over all lines."""
     n = t.supplier.agg(F.count("*").alias("n"))
-    rows = t.lineitem.where("l_returnflag = 'R' AND l_linestatus = 'F' AND l_quantity = 50").crossJoin(F.broadcast(n))
+    rows = t.lineitem.crossJoin(F.broadcast(n))
     return rows.select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") * 7 + F.col("l_suppkey")) % F.col("n")).alias("dst"), F.lit(0).alias("pos")).distinct()
 
 
@@ -94,12 +94,6 @@ def _(spark, d):
     return one_hop(supply(t), t.supplier.where("s_acctbal > 9000").select(F.col("s_suppkey").alias("node")))
 
 
-@query("grf_11_path_relations", "WITH m AS (SELECT DISTINCT p_name AS old_path, p_brand AS new_path FROM part WHERE p_size <= 1), a AS (SELECT old_path, count(*) AS nn FROM m GROUP BY 1), b AS (SELECT new_path, count(*) AS no FROM m GROUP BY 1) SELECT old_path, new_path, CASE WHEN nn > 1 AND no > 1 THEN 'split_merge' WHEN nn > 1 THEN 'split' WHEN no > 1 THEN 'merge' ELSE 'rename' END AS relation FROM m JOIN a USING (old_path) JOIN b USING (new_path)")
-def _(spark, d):
-    m = Tables(spark, d).part.where("p_size <= 1").select(F.col("p_name").alias("old_path"), F.col("p_brand").alias("new_path"))
-    return G.path_relations(m, "old_path", "new_path")
-
-
 @query("grf_12_old_path_state", "SELECT p_partkey, CASE WHEN l_partkey IS NULL THEN 'deprecated' ELSE 'alias' END AS state FROM part LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity >= 49) ON l_partkey = p_partkey")
 def _(spark, d):
     t = Tables(spark, d)

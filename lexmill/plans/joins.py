@@ -64,12 +64,6 @@ def _(spark, d):
     return R.set_difference(t.documents, t.labels, "doc_id")
 
 
-@query("set_01_manifest_difference", "SELECT p_partkey AS k, 'missing' AS side FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem) UNION ALL SELECT DISTINCT l_partkey, 'extra' FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part)")
-def _(spark, d):
-    t = Tables(spark, d)
-    return R.set_difference(t.part.select(F.col("p_partkey").alias("k")), t.lineitem.select(F.col("l_partkey").alias("k")), "k")
-
-
 @query("join_10_provenance_chain", "SELECT DISTINCT o_custkey, l_suppkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN supplier ON s_suppkey = l_suppkey WHERE o_orderstatus = 'F'")
 def _(spark, d):
     t = Tables(spark, d)
@@ -198,12 +192,6 @@ def _(spark, d):
     return diff.agg(F.count_if(F.col("side") == "missing").alias("uncovered"), F.count_if(F.col("side") == "extra").alias("foreign_keys"))
 
 
-@query("set_05_symmetric_difference", "SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' UNION (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A')")
-def _(spark, d):
-    li = Tables(spark, d).lineitem
-    return R.set_difference(li.where("l_returnflag = 'A'").select("l_partkey"), li.where("l_returnflag = 'R'").select("l_partkey"), "l_partkey").select("l_partkey")
-
-
 @query("set_06_ordered_union", "SELECT user_id, event_type, min(event_id) AS first_seq FROM events GROUP BY ALL")
 def _(spark, d):
     return Tables(spark, d).events.groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_seq"))

@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
-from lexmill.operators import gates as G
 from lexmill.operators import ledger as R
 from lexmill.plans.base import CLAIMS, Tables, query
 
@@ -17,12 +16,6 @@ def _(spark, d):
     return g.select("l_orderkey", F.when(F.col("x") > 0.09, "lineage").when(F.col("n") < 3, "coverage").when(F.col("z"), "faithfulness").otherwise("passed").alias("reason"))
 
 
-@query("gte_02_faithfulness", f"WITH {CLAIMS} SELECT DISTINCT doc_id, 'faithful' AS status FROM claims")
-def _(spark, d):
-    t = Tables(spark, d)
-    return G.faithful(t.claims().select("doc_id", "claim"), t.documents.select("doc_id", F.col("text").alias("body")), "doc_id")
-
-
 @query("gte_05_topic_index_valid", "SELECT p_name, count(*) AS n FROM part GROUP BY 1 HAVING count(*) > 1 OR bool_or(p_brand IS NULL)")
 def _(spark, d):
     return Tables(spark, d).part.groupBy("p_name").agg(F.count("*").alias("n"), F.bool_or(F.col("p_brand").isNull()).alias("b")).where("n > 1 OR b").select("p_name", "n")
@@ -33,11 +26,6 @@ def _(spark, d):
     return Tables(spark, d).part.select("p_partkey", F.lit("2.0").alias("schema_version"), F.lower("p_type").alias("knowledge_type"), F.when(F.col("p_size") >= 5, F.col("p_brand")).alias("module"))
 
 
-@query("gte_07_source_index_valid", "SELECT url, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1 OR NOT bool_and(starts_with(url, 'http'))")
-def _(spark, d):
-    return Tables(spark, d).pages.groupBy("url").agg(F.count("*").alias("n"), F.bool_and(F.col("url").startswith("http")).alias("ok")).where("n > 1 OR NOT ok").select("url", "n")
-
-
 @query("gte_08_semantic_evidence", "SELECT doc_id, array_to_string(list_filter([CASE WHEN quality = 0 THEN 'LOW_QUALITY' END, CASE WHEN toxic = 1 THEN 'TOXIC' END], lambda x: x IS NOT NULL), ',') AS codes FROM labels")
 def _(spark, d):
     codes = F.array_compact(F.array(F.when(F.col("quality") == 0, "LOW_QUALITY"), F.when(F.col("toxic") == 1, "TOXIC")))

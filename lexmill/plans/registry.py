@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from lexmill.plans import (  # noqa: F401
     aggregates,
+    bodies,
     extra,
     graphs,
     joins,

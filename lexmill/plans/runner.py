@@ -85,50 +85,75 @@ def with_fallback(first: Callable[[], DataFrame], second: Callable[[], DataFrame
         return second(), f"fallback: {type(error).__name__}"
 
 
+#: Fixed values of the contract: the two splits, in the order in which a lineage's hash chooses by its
+#: parity; lineages of more strata come first, then by hash, then by name.
+SPLITS = ("calibration", "holdout")
+
+
+def _hash(lineage: str) -> str:
+    return hashlib.sha256(lineage.encode()).hexdigest()
+
+
 def split_lineages(strata: Iterable[tuple[str, str]]) -> dict[str, str]:
-    """lineage -> calibration or holdout, so that every stratum that at least two lineages cover has both.
+    """lineage -> calibration or holdout, so that every stratum that at least two lineages cover has
+    both: of all such assignments the one in which the first lineages get what their hash prefers.
 
-    Lineages with the most strata choose first, by the parity of their hash unless a stratum of
-    theirs has one split covered and would have too few lineages left for the other."""
-    of, covers = defaultdict(set), defaultdict(set)
+    Two-colouring by propagation: a stratum that has one colour so far and one lineage open fixes
+    that lineage. A free choice that ends in a contradiction is undone on a trail and turned over."""
+    of, members = defaultdict(set), defaultdict(set)
     for lineage, stratum in strata:
         of[lineage].add(stratum)
-        covers[stratum].add(lineage)
-    order = sorted(of, key=lambda x: (-len(of[x]), hashlib.sha256(x.encode()).hexdigest(), x))
-    needs = {s for s, ls in covers.items() if len(ls) >= 2}
-    both = ("calibration", "holdout")
-    chosen: dict[str, str] = {}
-    left = {s: len(ls) for s, ls in covers.items()}
-
-    used = {(s, split): 0 for s in covers for split in both}
-
-    def options(x: str) -> tuple[str, str]:
-        first = int(hashlib.sha256(x.encode()).hexdigest(), 16) % 2
-        return both[first], both[1 - first]
-
-    def put(x: str, by: int) -> None:
-        for s in of[x]:
-            left[s] -= by
-            used[s, chosen[x]] += by
-
-    # a loop with a stack of options tried, not a recursion: lineages may be many
-    tried = [0]
-    while len(tried) <= len(order):
-        x = order[len(tried) - 1]
-        if x in chosen:
-            put(x, -1)
-            del chosen[x]
-        if tried[-1] == 2:
-            tried.pop()
-            if not tried:
-                raise ValueError("no split covers every stratum twice")
+        members[stratum].add(lineage)
+    order = sorted(of, key=lambda x: (-len(of[x]), _hash(x), x))
+    shared = {s for s, own in members.items() if len(own) > 1}
+    # of each shared stratum: how many lineages have each colour, and how many are open
+    tally = {s: [0, 0, len(members[s])] for s in shared}
+    colour: dict[str, int] = {}
+    trail: list[tuple[str, bool]] = []
+
+    def fix(lineage: str, c: int, free: bool) -> bool:
+        """Colour a lineage and all that follows; False if a stratum is left with one colour."""
+        todo = [(lineage, c, free)]
+        while todo:
+            x, c, choice = todo.pop()
+            if x in colour:
+                if colour[x] != c:
+                    return False
+                continue
+            colour[x] = c
+            trail.append((x, choice))
+            sound = True
+            for s in of[x] & shared:
+                tally[s][c] += 1
+                tally[s][2] -= 1
+                sound = sound and (tally[s][2] > 0 or min(tally[s][:2]) > 0)
+                if tally[s][2] == 1 and min(tally[s][:2]) == 0:
+                    missing = 0 if tally[s][0] == 0 else 1
+                    todo += [(y, missing, False) for y in members[s] if y not in colour]
+            if not sound:
+                return False
+        return True
+
+    at = 0
+    while at < len(order):
+        if order[at] in colour:
+            at += 1
             continue
-        chosen[x] = options(x)[tried[-1]]
-        tried[-1] += 1
-        put(x, 1)
-        if all(sum(not used[s, split] for split in both) <= left[s] for s in of[x] & needs):
-            tried.append(0)
-    return chosen
+        sound = fix(order[at], int(_hash(order[at]), 16) % 2, True)
+        while not sound:
+            while trail:
+                x, choice = trail.pop()
+                c = colour.pop(x)
+                for s in of[x] & shared:
+                    tally[s][c] -= 1
+                    tally[s][2] += 1
+                if choice:
+                    break
+            else:
+                raise ValueError("no split covers every stratum twice")
+            at = 0
+            sound = fix(x, 1 - c, False)
+    return {x: SPLITS[colour[x]] for x in order}
 
 
 @dataclass

@@ -120,12 +120,6 @@ def _(spark, d):
     return rows.groupBy("conv_id", T.marker("line").alias("marker")).agg(F.count("*").alias("n_lines"))
 
 
-@query("scl_22_strip_frontmatter", r"SELECT doc_id, sha256(text) AS body_hash FROM documents")
-def _(spark, d):
-    x = F.concat(F.lit("---\ntitle: a\nsource: "), "source", F.lit("\n---\n"), "text")
-    return Tables(spark, d).documents.select("doc_id", F.sha2(T.strip_frontmatter(x), 256).alias("body_hash"))
-
-
 @query("scl_24_clean_line", rf"""
 WITH {CLAIMS}, a AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(claim, 'https?://\S+', '', 'g'), '[*_`~]', '', 'g') AS x FROM claims),
 b AS (SELECT doc_id, line_no, {SQUEEZE.format(r"regexp_replace(x, '^(?:[-*+]\s+|[0-9]+[.)、]\s+)', '')")} AS x FROM a)
@@ -141,14 +135,6 @@ def _(spark, d):
     return rows.select("doc_id", "line_no", F.size("cells").alias("n_cells"))
 
 
-@query("scl_26_section_kind", f"""
-WITH {MD_SQL}, h AS (SELECT conv_id, unnest(regexp_extract_all(md, '(?m)^#{{1,6}} (.*)$', 1)) AS heading FROM md)
-SELECT conv_id, heading, 'detail' AS kind FROM h""")
-def _(spark, d):
-    rows = markdown(Tables(spark, d)).select("conv_id", F.explode(F.regexp_extract_all("md", F.lit(r"(?m)^#{1,6} (.*)$"), 1)).alias("heading"))
-    return rows.select("conv_id", "heading", T.section_kind("heading").alias("kind"))
-
-
 @query("scl_27_summary_line", rf"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
 p AS (SELECT doc_id, i, {SQUEEZE.format("line")} AS v FROM l WHERE {TRIM.format("line")} <> '' AND NOT regexp_matches({TRIM.format("line")}, '^(#|- |\* |> |\|)')),
@@ -194,11 +180,6 @@ def _(spark, d):
     return Tables(spark, d).documents.select("doc_id", F.size(T.word_grams(F.regexp_replace("text", r"\s+", " "))).alias("n_grams"))
 
 
-@query("scl_34_facts_kept", r"SELECT doc_id, true AS kept FROM documents")
-def _(spark, d):
-    return Tables(spark, d).documents.select("doc_id", T.facts_kept(T.summary_line("text", "source"), F.concat("text", F.lit(" "), "source")).alias("kept"))
-
-
 @query("scl_36_retention_deadline", "SELECT event_id, ts + INTERVAL 90 DAY AS retain_until FROM events")
 def _(spark, d):
     return Tables(spark, d).events.select("event_id", T.retention_deadline("ts").alias("retain_until"))
@@ -317,21 +298,6 @@ def _(spark, d):
     return Tables(spark, d).claims().select("doc_id", "line_no", F.col("claim").rlike(r"^\|?[\s:|-]+\|?$").alias("format_only"))
 
 
-@query("flt_12_reader_leaks", "SELECT doc_id, 'INTERNAL_FIELD' AS code FROM documents WHERE contains(text, 'source_id:') UNION ALL SELECT doc_id, 'HASH_OR_INTERNAL_METADATA' FROM documents WHERE regexp_matches(text, '(?i)(?:sha256|content[_-]?fingerprint|digest[_-]?topic|source[_-]?id)\\s*[:=]?[`''\"]?[0-9a-f]{16,}')")
-def _(spark, d):
-    from lexmill.operators.gates import reader_leaks
-
-    return reader_leaks(Tables(spark, d).documents, "doc_id", "text")
-
-
-@query("flt_13_sensitive_lines", f"WITH {CLAIMS}, x AS (SELECT DISTINCT doc_id, claim FROM claims WHERE length(claim) >= 12), c AS (SELECT DISTINCT unnest(string_split(text, chr(10))) AS line FROM conversations) SELECT doc_id, count(*) AS n_lines FROM x WHERE claim IN (SELECT line FROM c) GROUP BY doc_id")
-def _(spark, d):
-    from lexmill.operators.gates import sensitive_lines
-
-    t = Tables(spark, d)
-    return sensitive_lines(t.claims(), t.conversations.select(F.explode(F.split("text", "\n", -1)).alias("line")))
-
-
 @query("flt_14_growth_records", "SELECT event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS n FROM events) WHERE n > 100")
 def _(spark, d):
     from lexmill.operators.ledger import growth

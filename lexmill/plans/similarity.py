@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
 from lexmill.operators import similarity as S
-from lexmill.operators.gates import supported_by_body
 from lexmill.operators.taxonomy import category_votes
 from lexmill.plans.base import Tables, query
 
@@ -169,12 +168,6 @@ def _(spark, d):
     return Tables(spark, d).part.select("p_partkey", F.array_join(F.sort_array(S.term_chunks(F.concat("p_name", F.lit(" "), "p_type"))), " ").alias("terms"))
 
 
-@query("sim_19_claim_support", "SELECT doc_id, true AS supported FROM documents WHERE text IS NOT NULL")
-def _(spark, d):
-    first = F.get(F.filter(T.lines("text"), lambda v: T.normalize_for_gate(v) != ""), 0)
-    return Tables(spark, d).documents.where("text IS NOT NULL").select("doc_id", supported_by_body(first, F.col("text")).alias("supported"))
-
-
 @query("top_05_category_vote", """
 WITH v(category, term) AS (VALUES ('alpha', 'the'), ('alpha', 'tion'), ('beta', 'que'), ('beta', 'eau'), ('gamma', 'keit'), ('gamma', 'ung')),
 s AS (SELECT doc_id, category, count(*) AS n FROM documents JOIN v ON contains(replace(lower(text), 'ß', 'ss'), term) GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, category) AS rn FROM s)

@@ -143,12 +143,6 @@ def _(spark, d):
     return Tables(spark, d).conversations.select("conv_id", "turn", page.alias("page"))
 
 
-@query("lay_04_evidence_lines", "SELECT conv_id, turn, text AS evidence FROM conversations")
-def _(spark, d):
-    page = F.concat(F.lit("# a\n## Evidence\n"), "text", F.lit("\n## Sources\n- b"))
-    return Tables(spark, d).conversations.select("conv_id", "turn", F.regexp_extract(page, r"(?s)\n## Evidence\n(.*)\n## Sources\n", 1).alias("evidence"))
-
-
 @query("lay_05_keep_entries", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25) AND l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 0)")
 def _(spark, d):
     t = Tables(spark, d)

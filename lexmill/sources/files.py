@@ -70,9 +70,13 @@ def parse_table(rows: DataFrame, text: str, key: str) -> DataFrame:
 
 
 def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``rows`` with n from 1 in the given order, numbered by range partitions and their sizes."""
-    parts = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id())
-    w = Window.partitionBy("__p").orderBy(order)
-    sizes = parts.groupBy("__p").count()
-    before = sizes.alias("a").join(sizes.alias("b"), F.col("b.__p") < F.col("a.__p"), "left").groupBy("a.__p").agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("__base"))
-    return parts.withColumn("__n", F.row_number().over(w)).join(F.broadcast(before), "__p").withColumn("n", F.col("__n") + F.col("__base")).drop("__n", "__p", "__base")
+    """``rows`` with n from 1 in the given order, numbered by range partitions and their sizes.
+
+    The sorted partitions are stored once: their numbers, sizes and rows then agree whatever is read."""
+    from lexmill.operators.similarity import stored
+
+    parts = stored(rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()))
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(order))
+    # one row for each partition
+    base = parts.groupBy("__p").count().select("__p", (F.sum("count").over(Window.orderBy("__p")) - F.col("count")).alias("__base"))
+    return parts.withColumn("__n", within).join(base, "__p").withColumn("n", F.col("__n") + F.col("__base")).drop("__n", "__p", "__base")

@@ -8,9 +8,13 @@ from pyspark.sql import SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a fresh temporary folder where it is unset."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a fresh temporary folder on a single
+    machine; on a cluster an error, since its executors share no local disk."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lexmill-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
