@@ -5,8 +5,9 @@ the word under each candidate, and a Viterbi pass with a switching penalty turns
 the word scores into spans of one language each.
 
 The Viterbi pass works on chunks of ``CHUNK`` words from all texts at once: each
-chunk is decoded for every language that may precede it, the chunks of a text are
-then joined from left to right, and the path is read back from the right.
+chunk is scored for every language that may precede it, the chunks of a text are
+joined from left to right, and once it is known what precedes each chunk, a second pass
+decodes it from there and the path is read back from the right.
 """
 
 from __future__ import annotations
@@ -18,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexmill.llm.common import out_of_the_way, small_batches, text_slices, words_of
+from lexmill.llm.common import SLICE_BYTES, out_of_the_way, small_batches, text_slices, words_of
 
 #: Labelled rows per language that the model is fitted on, at most (chosen by a hash of the row).
 MAX_TRAIN_ROWS = 3000
+#: The model's table takes 400 KB for each language; more labels than this raise.
 MAX_LANGUAGES = 250
 ORDERS = (2, 3, 4)
 TABLE_BITS = 15
@@ -30,6 +32,8 @@ SWITCH_PENALTY = 14.0
 #: A language is no candidate for a word with letters of a script that makes up less of its training letters.
 SCRIPT_SHARE = 0.001
 CHUNK = 64
+#: Entries of the largest array of a pass over chunks: words or pairs of languages.
+ENTRIES = 1 << 22
 
 # First code points of blocks, each up to the next one, and the script they hold.
 SCRIPT_STARTS = (
@@ -193,29 +197,22 @@ def _decode(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
     nth = np.arange(total) - heads[text]
     begin = first[:-1][text] + nth * CHUNK
     size = np.minimum(CHUNK, first[1:][text] - begin)
-    # best[c, s, l]: best score of chunk c that ends in l when language s came before it
-    best = np.full((total, k, k), -1e30, np.float64)
-    best[:, np.arange(k), np.arange(k)] = 0
-    switched = np.zeros((CHUNK, total, k, k), bool)
-    origin = np.zeros((CHUNK, total, k), np.int16)
-    alone = np.full(k, penalty)
-    for t in range(int(size.max(initial=0))):
-        live = np.flatnonzero(size > t)
-        own = best[live]
-        source = own.argmax(axis=2)
-        jump = own.max(axis=2)[:, :, None] - alone
-        moved = jump > own
-        switched[t, live] = moved
-        origin[t, live] = source
-        best[live] = np.where(moved, jump, own) + scores[begin[live] + t][:, None, :]
     value = np.zeros((len(counts), k))
     before = np.zeros((total, k), np.int16)
-    for j in range(int(chunks.max(initial=0))):
-        live = np.flatnonzero(chunks > j)
-        c = heads[live] + j
-        sums = value[live][:, :, None] + best[c]
-        before[c] = sums.argmax(axis=1)
-        value[live] = sums.max(axis=1)
+    # first pass: best[c, s, l] is the best score of chunk c that ends in l when language s came before it
+    for low in range(0, total, step := max(1, ENTRIES // (k * k))):
+        high = min(low + step, total)
+        best = np.full((high - low, k, k), -1e30, np.float64)
+        best[:, np.arange(k), np.arange(k)] = 0
+        for t in range(int(size[low:high].max())):
+            live = np.flatnonzero(size[low:high] > t)
+            own = best[live]
+            best[live] = np.maximum(own, own.max(axis=2)[:, :, None] - penalty) + scores[begin[low:high][live] + t][:, None, :]
+        order = np.argsort(nth[low:high], kind="stable")
+        for c in np.split(order, np.flatnonzero(np.diff(nth[low:high][order])) + 1):
+            sums = value[text[low + c]][:, :, None] + best[c]
+            before[low + c] = sums.argmax(axis=1)
+            value[text[low + c]] = sums.max(axis=1)
     last = np.zeros(total, np.int64)
     came = np.zeros(total, np.int64)
     state = value.argmax(axis=1)
@@ -224,16 +221,57 @@ def _decode(scores: np.ndarray, first: np.ndarray, penalty: float) -> np.ndarray
         c = heads[live] + j
         last[c] = state[live]
         came[c] = state[live] = before[c, state[live]]
+    # second pass: each chunk from the language that came before it to the one it ends in
     labels = np.zeros(len(scores), np.int64)
-    now = last.copy()
-    for t in range(int(size.max(initial=0)) - 1, -1, -1):
-        live = np.flatnonzero(size > t)
-        labels[begin[live] + t] = now[live]
-        hop = switched[t, live, came[live], now[live]]
-        now[live] = np.where(hop, origin[t, live, came[live]], now[live])
+    for low in range(0, total, step := max(1, ENTRIES // (CHUNK * k))):
+        high = min(low + step, total)
+        n, longest = high - low, int(size[low:high].max())
+        best = np.full((n, k), -1e30, np.float64)
+        best[np.arange(n), came[low:high]] = 0
+        switched = np.zeros((longest, n, k), bool)
+        origin = np.zeros((longest, n), np.int16)
+        for t in range(longest):
+            live = np.flatnonzero(size[low:high] > t)
+            own = best[live]
+            jump = own.max(axis=1)[:, None] - penalty
+            switched[t, live] = jump > own
+            origin[t, live] = own.argmax(axis=1)
+            best[live] = np.maximum(own, jump) + scores[begin[low:high][live] + t]
+        now = last[low:high].copy()
+        for t in range(longest - 1, -1, -1):
+            live = np.flatnonzero(size[low:high] > t)
+            labels[begin[low:high][live] + t] = now[live]
+            now[live] = np.where(switched[t, live, now[live]], origin[t, live], now[live])
     return labels
 
 
+def _slice_bytes(k: int) -> int:
+    """Bytes of text that a pass over words takes at once: fewer for many languages."""
+    return max(1 << 12, SLICE_BYTES * 16 // max(16, k))
+
+
+def _word_scores(model: LanguageModel, folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """[words, languages]; in runs of words, so that a long text takes no more at once than a slice."""
+    scores = np.empty((len(starts), len(model.languages)))
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _slice_bytes(len(model.languages)), "right")))
+        base = starts[i]
+        part, a, b = folded[base : ends[j - 1]], starts[i:j] - base, ends[i:j] - base
+        grams, heads = _grams(part, a, b)
+        per_byte = model.logp[0][grams[0]]
+        for o in range(1, len(ORDERS)):
+            per_byte = per_byte + model.logp[o][grams[o]]
+        own = np.add.reduceat(per_byte, heads, axis=0).astype(np.float64)
+        masks = _script_masks(part, a, b)
+        fits = (masks[:, None] & ~model.scripts[None, :]) == 0
+        fits[~fits.any(axis=1)] = True
+        own[~fits] -= 1000.0
+        scores[i:j] = own
+        i = j
+    return scores
+
+
 def _label_slice(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray, penalty: float):
     """Per text of a slice: language number or -1, score, spans (start, end in code points, language number)."""
     n, k = len(offsets) - 1, len(model.languages)
@@ -242,15 +280,7 @@ def _label_slice(model: LanguageModel, raw: np.ndarray, offsets: np.ndarray, pen
     pick, score, spans = np.full(n, -1), np.zeros(n), [[] for _ in range(n)]
     if not len(starts) or not k:
         return pick, score, spans
-    grams, heads = _grams(folded, starts, ends)
-    per_byte = model.logp[0][grams[0]]
-    for o in range(1, len(ORDERS)):
-        per_byte = per_byte + model.logp[o][grams[o]]
-    scores = np.add.reduceat(per_byte, heads, axis=0).astype(np.float64)
-    masks = _script_masks(folded, starts, ends)
-    fits = (masks[:, None] & ~model.scripts[None, :]) == 0
-    fits[~fits.any(axis=1)] = True
-    scores[~fits] -= 1000.0
+    scores = _word_scores(model, folded, starts, ends)
     labels = _decode(scores, first, penalty)
     size = (ends - starts).astype(np.int64)
     text = np.repeat(np.arange(n), np.diff(first))
@@ -289,7 +319,8 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
     texts and texts without a letter get ``und``, score 0 and no spans, and so do all
     texts when no language was learned. Equal scores go to the first language by
     name; repeated rows are labelled alike, each for itself; columns of ``docs``
-    called like a result are replaced."""
+    called like a result are replaced. A very long text is decoded whole, in runs of words: what it
+    takes is its words by the languages, and bounded arrays."""
     out_of_the_way(docs, text)
     small_batches(docs.sparkSession)
     extra = ("lang_pred", "score", "spans")
@@ -303,7 +334,7 @@ def identify(docs: DataFrame, model: LanguageModel, *, text: str = "text", keep:
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             langs, scores, spans = [], [], []
-            for row, raw, offsets in text_slices(texts):
+            for row, raw, offsets in text_slices(texts, _slice_bytes(len(model.languages))):
                 pick, score, found = _label_slice(model, raw, offsets, penalty)
                 ascii_letter = np.concatenate(([0], np.cumsum(_WORD_BYTE[raw] & (raw < 128))))
                 plain = ascii_letter[offsets[1:]] > ascii_letter[offsets[:-1]]
