@@ -24,7 +24,7 @@ from lexmill.llm.tokens import END_ID, ids_of, vocabulary
 LENGTH = 1024
 #: Pieces of one length are ranked in buckets of about so many; more, once the driver's table would
 #: have over MAX_BUCKETS rows. Any number gives the same packing quality.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 256
 MAX_BUCKETS = 250_000
 #: Token bytes in one Arrow batch on the way out.
 OUT_BYTES = 8 << 20
@@ -191,9 +191,9 @@ def place_pieces(pieces: DataFrame, *, length: int = LENGTH, bucket_rows: int =
             seq, off = np.zeros(len(size), np.int64), np.zeros(len(size), np.int64)
             for x in np.unique(size):
                 own = np.flatnonzero(size == x)
-                heads, bins, each, offset = table[int(x)]
-                i = np.searchsorted(heads, rank[own], "right") - 1
-                nth = rank[own] - heads[i]
+                first, bins, each, offset = table[int(x)]
+                i = np.searchsorted(first, rank[own], "right") - 1
+                nth = rank[own] - first[i]
                 seq[own] = bins[i] + nth // each[i]
                 off[own] = offset[i] + nth % each[i] * x
             yield pa.RecordBatch.from_arrays([*[batch.column(at[c]) for c in keep], pa.array(seq), pa.array(off)], names=[*keep, "sequence_id", "offset"])

@@ -106,3 +106,28 @@ def test_sequences_hold_the_ids(spark):
 def test_pieces_longer_than_a_sequence_are_refused():
     with pytest.raises(ValueError):
         P.plan_best_fit({40: 1}, 32)
+
+
+def test_many_batches_and_buckets_give_the_same_packing(spark):
+    r = random.Random(12)
+    rows = [(i, 0, r.randint(1, 1024)) for i in range(3000)] + [(-i, 0, 1024) for i in range(1, 500)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "100")
+    try:
+        for buckets in (7, 100, 4096):
+            placed = P.place_pieces(P.durable(pieces, "test-pieces"), bucket_rows=buckets).collect()
+            seqs = {}
+            for x in placed:
+                seqs.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+            for parts in seqs.values():
+                ends = 0
+                for offset, n in sorted(parts):
+                    assert offset == ends
+                    ends += n
+                assert ends <= 1024
+            assert sorted(x["doc_id"] for x in placed) == sorted(x[0] for x in rows)
+            assert len(seqs) == len(best_fit([x[2] for x in rows], 1024))
+    finally:
+        spark.conf.set(key, before)
