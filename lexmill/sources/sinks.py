@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,9 +36,43 @@ def replace_jsonl(df: DataFrame, path: str) -> None:
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
+    """Append rows as new files of a JSONL ledger, keys sorted. A file becomes visible when it is complete;
+    lines that an earlier writer left torn are cut by ``cut_torn_tails`` before."""
     df.select(*sorted(df.columns)).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+def cut_torn_tails(spark: SparkSession, path: str) -> int:
+    """Cut each file of a ledger after its last line feed, and say how many were cut.
+
+    Only the last bytes of each file are read, in parallel; a torn file is written anew beside the old
+    one and renamed over it, so that an interruption leaves either."""
+    import pyarrow as pa
+    import pyarrow.fs as pafs
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(path).select("path", "length").where("length > 0")
+
+    def run(batches):
+        for batch in batches:
+            cut = []
+            for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                fs, at = (pafs.LocalFileSystem(), re.sub("^file:/*", "/", name)) if name.startswith("file:") else pafs.FileSystem.from_uri(name)
+                with fs.open_input_file(at) as f:
+                    end, step = length, 1 << 16
+                    while end and (found := f.read_at(min(step, end), end - min(step, end)).rfind(b"\n")) < 0:
+                        end -= min(step, end)
+                    keep = end - min(step, end) + found + 1 if end else 0
+                    if keep < length:
+                        with fs.open_output_stream(f"{at}.cut") as out:
+                            for start in range(0, keep, 8 << 20):
+                                out.write(f.read_at(min(8 << 20, keep - start), start))
+                if keep < length:
+                    fs.move(f"{at}.cut", at)
+                    cut.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], names=["path"])
+
+    return files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string").count()
+
+
 def remember(claims: DataFrame, store: DataFrame, key: str = "identity") -> DataFrame:
     """Claims that the store does not hold yet: what an upsert by identity has to write."""
     return claims.dropDuplicates([key]).join(store.select(key), key, "left_anti")

@@ -98,3 +98,17 @@ def test_numbers_of_many_rows(spark):
 def test_long_texts_have_grams_in_time(spark):
     text = " ".join(f"w{i}" for i in range(20_000))
     assert spark.createDataFrame([(text,)], "t string").select(F.size(T.word_grams("t")).alias("n")).first()["n"] == 19_996
+
+
+def test_torn_tails_are_cut_and_rows_appended(spark, tmp_path):
+    from lexmill.sources.sinks import append_jsonl, cut_torn_tails
+
+    (tmp_path / "a.json").write_text('{"k": 1}\n{"k": 2}\n{"k": 3, "v"')
+    (tmp_path / "b.json").write_text('{"k": 4}\n')
+    (tmp_path / "c.json").write_text('{"k"' + " " * 200_000)
+    (tmp_path / "d.json").write_text("")
+    path = f"file://{tmp_path}"
+    assert cut_torn_tails(spark, path) == 2 and cut_torn_tails(spark, path) == 0
+    append_jsonl(spark.createDataFrame([(5,)], "k long").coalesce(1), path)
+    lines = [x for f in tmp_path.glob("*.json") for x in f.read_text().split("\n") if x]
+    assert sorted(lines) == [f'{{"k": {i}}}' for i in (1, 2, 4)] + ['{"k":5}']
