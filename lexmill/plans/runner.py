@@ -7,9 +7,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 from collections import defaultdict
 from collections.abc import Callable, Iterable, Mapping
-from dataclasses import asdict, dataclass, fields
+from dataclasses import asdict, dataclass, field, fields
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -156,18 +157,26 @@ def split_lineages(strata: Iterable[tuple[str, str]]) -> dict[str, str]:
     return {x: SPLITS[colour[x]] for x in order}
 
 
+class BudgetExceeded(RuntimeError):
+    """A run stops before the batch that would go beyond a budget; its state says where."""
+
+
 @dataclass
 class BatchState:
-    """What ran: batch number -> status; kept as JSON beside the results."""
+    """What ran: batch number -> status, row number -> status for the rows of split batches, and what
+    was spent over all calls; kept as JSON beside the results."""
 
     manifest: str
     done: dict[int, str]
+    single: dict[int, str] = field(default_factory=dict)
+    spent: dict[str, float] = field(default_factory=dict)
 
     def save(self, spark: SparkSession, path: str) -> None:
         from lexmill.sources.sinks import replace_jsonl
 
-        rows = [(self.manifest, int(k), v) for k, v in sorted(self.done.items())]
-        replace_jsonl(spark.createDataFrame(rows, "manifest string, batch int, status string").coalesce(1), path)
+        rows = [("batch", int(k), v, None) for k, v in sorted(self.done.items())] + [("row", int(k), v, None) for k, v in sorted(self.single.items())]
+        rows += [("spent", None, k, float(v)) for k, v in sorted(self.spent.items())]
+        replace_jsonl(spark.createDataFrame([(self.manifest, *r) for r in rows], _STATE).coalesce(1), path)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, manifest: str) -> BatchState:
@@ -176,33 +185,86 @@ class BatchState:
         fs, p = _fs(spark, path)
         if not fs.exists(p):
             return cls(manifest, {})
-        rows = spark.read.schema("manifest string, batch int, status string").json(path).collect()
+        rows = spark.read.schema(_STATE).json(path).collect()
         if any(r["manifest"] != manifest for r in rows):
             raise ValueError("the inputs changed since the last run")
-        return cls(manifest, {r["batch"]: r["status"] for r in rows})
-
-
-def run_batches(spark: SparkSession, rows: DataFrame, work: Callable[[DataFrame], None], *, key: str, size: int, state_path: str, most_failures: int = 3) -> BatchState:
+        of = lambda kind: {r["n"]: r["status"] for r in rows if r["kind"] == kind}
+        return cls(manifest, of("batch"), of("row"), {r["status"]: r["amount"] for r in rows if r["kind"] == "spent"})
+
+
+_STATE = "manifest string, kind string, n long, status string, amount double"
+
+
+def run_batches(
+    spark: SparkSession,
+    rows: DataFrame,
+    work: Callable[[DataFrame], None],
+    *,
+    key: str,
+    size: int,
+    state_path: str,
+    most_failures: int = 3,
+    split: bool = False,
+    most_calls: int | None = None,
+    most_replays: int | None = None,
+    most_seconds: float | None = None,
+    clock: Callable[[], float] = time.monotonic,
+) -> BatchState:
     """Rows in batches of ``size`` by key order; finished batches are skipped on the next call, so a run
-    that was cut off goes on where it stopped. A failed batch is recorded and the next one runs, up
-    to ``most_failures``."""
+    that was cut off goes on where it stopped. A failed batch is recorded and the next one runs, until
+    ``most_failures`` failed in this call. With ``split`` the rows of a failed batch then run one by one,
+    and only those that fail by themselves stay open.
+
+    Budgets hold over all calls on one state: ``most_calls`` of ``work``, ``most_replays`` of them for
+    what failed before, ``most_seconds``. A call is counted and saved before it is made; the one that
+    would go beyond raises BudgetExceeded instead."""
     from lexmill.sources.files import numbered
 
     cut = numbered(rows, key).withColumn("batch", F.floor((F.col("n") - 1) / size).cast("int")).persist()
     try:
         manifest = cut.agg(F.count("*").alias("n"), F.sum(F.crc32(F.col(key).cast("string").cast("binary"))).alias("h")).first()
         state = BatchState.load(spark, state_path, f"{manifest['n']}:{manifest['h']}:{size}")
-        total = -(-manifest["n"] // size)
-        for b in range(total):
-            if state.done.get(b) == "done":
-                continue
+        before, began, failures = state.spent.get("seconds", 0.0), clock(), 0
+
+        def attempt(part: DataFrame, book: dict[int, str], n: int) -> bool:
+            replay = n in book
+            want = {"calls": state.spent.get("calls", 0) + 1, "replays": state.spent.get("replays", 0) + replay, "seconds": before + clock() - began}
+            for name, most in (("calls", most_calls), ("replays", most_replays), ("seconds", most_seconds)):
+                if most is not None and want[name] > most:
+                    state.spent["seconds"] = want["seconds"]
+                    state.save(spark, state_path)
+                    raise BudgetExceeded(f"more than {most} {name}")
+            state.spent.update(want)
+            book[n] = "running"
+            state.save(spark, state_path)
             try:
-                work(cut.where(F.col("batch") == b).drop("n", "batch"))
-                state.done[b] = "done"
+                work(part.drop("n", "batch"))
+                book[n] = "done"
             except Exception as error:  # recorded, and retried by the next call
-                state.done[b] = f"failed: {type(error).__name__}"
+                book[n] = f"failed: {type(error).__name__}"
+            state.spent["seconds"] = before + clock() - began
             state.save(spark, state_path)
-            if sum(v.startswith("failed") for v in state.done.values()) >= most_failures:
+            return book[n] == "done"
+
+        for b in range(-(-manifest["n"] // size)):
+            if state.done.get(b) == "done":
+                continue
+            if state.done.get(b) != "split":
+                if attempt(cut.where(F.col("batch") == b), state.done, b):
+                    continue
+                failures += 1
+                last = min((b + 1) * size, manifest["n"])
+                if split and last - b * size > 1:
+                    state.done[b] = "split"
+            if state.done[b] == "split":
+                of = range(b * size + 1, min((b + 1) * size, manifest["n"]) + 1)
+                for n in of:
+                    if state.single.get(n) != "done" and failures < most_failures:
+                        failures += not attempt(cut.where(F.col("n") == n), state.single, n)
+                if all(state.single.get(n) == "done" for n in of):
+                    state.done[b] = "done"
+                state.save(spark, state_path)
+            if failures >= most_failures:
                 break
         return state
     finally:
