@@ -184,13 +184,6 @@ def _(spark, d):
     return j.agg(F.count_if(F.col("x") > F.col("y")).alias("wins"), F.count_if(F.col("x") < F.col("y")).alias("losses"), F.count_if(F.col("x") == F.col("y")).alias("ties"))
 
 
-@query("agg_29_quality_proxy", "SELECT least(100.0, round(20.0 * count(*) FILTER (length(text) > 20) / count(*) + 20.0 * count(DISTINCT text) / count(*) + 15.0 * count(DISTINCT lang) / 4 + 15.0 + 10.0 + 20.0, 2)) AS score FROM documents")
-def _(spark, d):
-    n = F.count("*")
-    score = 20.0 * F.count_if(F.char_length("text") > 20) / n + 20.0 * F.count_distinct("text") / n + 15.0 * F.count_distinct("lang") / 4 + 45.0
-    return Tables(spark, d).documents.agg(F.least(F.lit(100.0), F.round(score, 2)).alias("score"))
-
-
 @query("agg_30_reader_metrics", "SELECT p_type AS product, count(*) AS n_sources, count(DISTINCT p_brand) AS n_modules, count(DISTINCT p_name) AS n_pages FROM part GROUP BY 1")
 def _(spark, d):
     return Tables(spark, d).part.groupBy(F.col("p_type").alias("product")).agg(F.count("*").alias("n_sources"), F.count_distinct("p_brand").alias("n_modules"), F.count_distinct("p_name").alias("n_pages"))

@@ -39,24 +39,11 @@ def _(spark, d):
     return g.select("source", F.when(F.col("t"), "blocked").when(F.col("q") < 0.9, "review").otherwise("release").alias("decision"))
 
 
-@query("gte_14_confirmation_valid", "SELECT event_id, ts BETWEEN TIMESTAMP '2024-01-02 00:00:00' - INTERVAL 24 HOUR AND TIMESTAMP '2024-01-02 00:00:00' AND event_type <> 'error' AS valid FROM events")
-def _(spark, d):
-    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
-    return Tables(spark, d).events.select("event_id", (F.col("ts").between(now - F.expr("INTERVAL 24 HOURS"), now) & (F.col("event_type") != "error")).alias("valid"))
-
-
 @query("gte_20_artifact_valid", "SELECT doc_id, regexp_matches(sha256(text), '^[0-9a-f]{64}$') AND source LIKE 'src%' AS valid FROM documents")
 def _(spark, d):
     return Tables(spark, d).documents.select("doc_id", (F.sha2("text", 256).rlike("^[0-9a-f]{64}$") & F.col("source").startswith("src")).alias("valid"))
 
 
-@query("ext_01_topic_identity", "SELECT c_custkey, coalesce(o.first_key, -1) AS locked, CASE WHEN o.first_key IS NULL THEN 'new' ELSE 'kept' END AS state FROM customer LEFT JOIN (SELECT o_custkey, min(o_orderkey) AS first_key FROM orders GROUP BY 1) o ON o_custkey = c_custkey")
-def _(spark, d):
-    t = Tables(spark, d)
-    lock = t.orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderkey").alias("k"))
-    return t.customer.select("c_custkey").join(lock, "c_custkey", "left").select("c_custkey", F.coalesce("k", F.lit(-1)).alias("locked"), F.when(F.col("k").isNull(), "new").otherwise("kept").alias("state"))
-
-
 @query("ext_02_pending_merge", "WITH r AS (SELECT DISTINCT user_id FROM events WHERE event_type = 'purchase'), x AS (SELECT user_id, event_id, value FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM r) UNION ALL SELECT user_id, event_id, value FROM events WHERE event_type = 'view') SELECT user_id, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM x GROUP BY 1")
 def _(spark, d):
     e = Tables(spark, d).events.select("user_id", "event_id", "value", "event_type")
@@ -130,28 +117,6 @@ def _(spark, d):
     return t.documents.select("doc_id").join(t.labels.where("quality = 1 AND toxic = 0"), "doc_id", "left_semi")
 
 
-@query("ext_30_answerability_contract", "SELECT conv_id, count(*) AS n, count(DISTINCT turn) = count(*) AS unique_turns, min(turn) = 0 AND max(turn) = count(*) - 1 AS complete FROM conversations GROUP BY 1")
-def _(spark, d):
-    g = Tables(spark, d).conversations.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_distinct("turn").alias("u"), F.min("turn").alias("a"), F.max("turn").alias("b"))
-    return g.select("conv_id", "n", (F.col("u") == F.col("n")).alias("unique_turns"), ((F.col("a") == 0) & (F.col("b") == F.col("n") - 1)).alias("complete"))
-
-
-@query("ext_33_verdict", "SELECT doc_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'passed' ELSE 'failed' END AS verdict FROM labels")
-def _(spark, d):
-    return Tables(spark, d).labels.select("doc_id", F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "passed").otherwise("failed").alias("verdict"))
-
-
-@query("ext_34_score_threshold", "SELECT source, round(avg(quality), 6) AS score, avg(quality) >= 0.9 AS passed FROM documents JOIN labels USING (doc_id) GROUP BY 1")
-def _(spark, d):
-    t = Tables(spark, d)
-    return t.documents.select("doc_id", "source").join(t.labels, "doc_id").groupBy("source").agg(F.round(F.avg("quality"), 6).alias("score"), (F.avg("quality") >= 0.9).alias("passed"))
-
-
-@query("ext_36_entry_bindings", "SELECT user_id, count(DISTINCT event_type) > 1 AS mixed, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS codes FROM events GROUP BY 1")
-def _(spark, d):
-    return Tables(spark, d).events.groupBy("user_id").agg((F.count_distinct("event_type") > 1).alias("mixed"), F.array_join(F.sort_array(F.collect_set("event_type")), ",").alias("codes"))
-
-
 @query("ext_38_attribution", "SELECT l_suppkey AS k, 'missing' AS side FROM (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity >= 49 EXCEPT SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) UNION ALL SELECT s_suppkey, 'extra' FROM (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity >= 49)")
 def _(spark, d):
     t = Tables(spark, d)

@@ -11,6 +11,7 @@ from lexmill.plans import (  # noqa: F401
     graphs,
     joins,
     ledgers,
+    reviews,
     scalars,
     similarity,
     sources,
