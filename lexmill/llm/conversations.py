@@ -18,13 +18,15 @@ import hashlib
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexmill.llm.common import discard, durable_at, out_of_the_way, small_batches
 
-#: Rows of a conversation that are parsed at once.
+#: Rows of a conversation that are parsed at once, and characters of their texts, but for one longer text.
 BLOCK_ROWS = 4096
+BLOCK_CHARS = 4 << 20
 #: Characters of the repaired text that a row of its pieces holds, about.
 PIECE_CHARS = 1 << 20
 
@@ -145,7 +147,8 @@ def damaged(conversations: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 
 def in_order(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``rows`` (conv_id, turn, role, text, gone) with pos, their place in the order by conv_id, turn (nulls first),
-    role and text, and block, the pos of the first row of a run of at most ``block_rows`` rows of one conversation.
+    role and text, and block, the pos of the first row of a run of at most ``block_rows`` rows of one conversation (fewer, if their
+    texts are long).
 
     Ties of the whole key are equal rows, whose order is of no matter; a row number deals them to several tasks."""
     spark = rows.sparkSession
@@ -158,15 +161,15 @@ def in_order(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def number(batches):
-        pos, last, first, block = 0, object(), True, 0
+        pos, last, block, chars = None, None, None, 0
         for batch in batches:
-            ids, part = batch.column(0).to_pylist(), batch.column(5)
             at, blocks = [], []
-            for i, c in enumerate(ids):
-                if first:
-                    pos, first = (part[i].as_py()) << 40, False
-                if c != last or pos - block >= block_rows:
-                    last, block = c, pos
+            for i, (c, length) in enumerate(zip(batch.column(0).to_pylist(), pc.utf8_length(batch.column(3)).to_pylist(), strict=True)):
+                if pos is None:
+                    pos = batch.column(5)[i].as_py() << 40
+                if block is None or c != last or pos - block >= block_rows or chars + length > BLOCK_CHARS:
+                    last, block, chars = c, pos, 0
+                chars += length
                 at.append(pos)
                 blocks.append(block)
                 pos += 1
@@ -355,12 +358,13 @@ def digests(ordered: DataFrame, parts: DataFrame) -> DataFrame:
                     yield table()
                 continue
             # lines carry their separator in front; the very first one is cut off by the reader
-            at, piece, none = 0, [], [None] * 7
+            at, piece, chars, none = 0, [], 0, [None] * 7
             for line in lines:
                 piece.append("\n" + line)
-                if sum(map(len, piece[-1:])) + at * 0 >= PIECE_CHARS or len(piece) >= 1024:
+                chars += len(line)
+                if chars >= PIECE_CHARS:
                     out.append((head["conv_id"], head["block"], at, "".join(piece).encode(), False, False, *none, None))
-                    at, piece = at + 1, []
+                    at, piece, chars = at + 1, [], 0
                     yield table()
             out.append((head["conv_id"], head["block"], at, "".join(piece).encode(), False, head["is_last"], *own, None))
             yield table()
@@ -411,3 +415,52 @@ def op11_conversation_repair(spark, sf_dir: str) -> DataFrame:
     """The contract's columns over ``conversations``."""
     ordered, parts = repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     return digests(ordered, parts)
+
+
+def _after(item: str, cost: str, edit: str) -> str:
+    """SQL: an item, cost in ten digits and audit, after one more edit."""
+    return f"(printf('%010d', CAST(left({item}, 10) AS BIGINT) + {cost}) || substr({item}, 11) || {edit})"
+
+
+def _took(item: str, role: str) -> str:
+    cost = f"(CASE WHEN initial = '{role}' THEN 0 ELSE 1 END + CASE WHEN fault = 't' THEN 5 ELSE 0 END)"
+    edit = f"CASE WHEN initial = '{role}' THEN 'K' ELSE 'R' END"
+    return f"(CASE WHEN fault NOT IN ('b', 'd') THEN {_after(item, cost, edit)} END)"
+
+
+def _cut(item: str) -> str:
+    return _after(item, "2", "'D'")
+
+
+def _put(item: str) -> str:
+    return _after(item, "5", "'I'")
+
+
+OP11_SQL = f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  xor(list_reduce(list_prepend(4294967295, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295) % 20 AS kind FROM conversations, t),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM k JOIN (VALUES (1), (2)) c(again) ON again = 1 OR kind = 3 WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n, left(role, 1) AS initial, right(regexp_replace(text, '[\\x20\\x09-\\x0D]+$', ''), 1) AS final FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN final = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 THEN 'd' WHEN final NOT IN ('.', '!', '?') THEN 't' ELSE '.' END AS fault,
+  lag(initial) OVER (PARTITION BY conv_id ORDER BY n) || initial AS pair FROM o),
+ids AS (SELECT DISTINCT conv_id FROM conversations),
+p AS (SELECT conv_id, 0::BIGINT AS n, '0000000000' AS x0, NULL::VARCHAR AS xs, '0000000005I' AS xu, '0000000010II' AS xa FROM ids
+  UNION ALL SELECT conv_id, n, y0, ys, zu, least(ya, {_put("zu")}) FROM (
+    SELECT conv_id, n, y0, ys, ya, least(yu, {_put("y0")}, {_put("ys")}, {_put("ya")}) AS zu FROM (
+      SELECT p.conv_id, f.n, {_cut("x0")} AS y0, least({_cut("xs")}, CASE WHEN initial = 's' THEN {_took("x0", "s")} END) AS ys,
+        least({_cut("xu")}, {_took("x0", "u")}, {_took("xs", "u")}, {_took("xa", "u")}) AS yu, least({_cut("xa")}, {_took("xu", "a")}) AS ya
+      FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.n = p.n + 1))),
+b AS (SELECT conv_id, least(x0, xa) AS best FROM p QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC) = 1),
+e AS (SELECT conv_id, i, substr(best, 10 + i, 1) AS edit, sum((substr(best, 10 + i, 1) <> 'I')::INT) OVER w AS n, sum((substr(best, 10 + i, 1) <> 'D')::INT) OVER w AS place
+  FROM (SELECT conv_id, best, unnest(range(1, length(best) - 9)) AS i FROM b) WINDOW w AS (PARTITION BY conv_id ORDER BY i)),
+r AS (SELECT e.conv_id, e.i, edit, place, f.role, CASE WHEN edit = 'I' THEN '' ELSE f.text END AS text,
+  max((place = 1 AND edit = 'K' AND f.initial = 's')::INT) OVER (PARTITION BY e.conv_id) AS led FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.n = e.n),
+h AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place - led) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS whole FROM r WHERE edit <> 'D' GROUP BY conv_id),
+c AS (SELECT conv_id, CASE WHEN count(turn) > 0 THEN max(turn) - min(turn) + 1 - count(DISTINCT turn) ELSE 0 END AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+  count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  CAST(left(best, 10) AS BIGINT) AS cost, substr(best, 11) AS audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM b LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM b.conv_id
+"""

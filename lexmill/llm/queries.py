@@ -1,5 +1,6 @@
 """One query per operator, with production parameters, and SQL where SQL can say it."""
 
+from lexmill.llm.conversations import OP11_SQL, op11_conversation_repair
 from lexmill.llm.decontamination import OP9_SQL, op9_decontamination
 from lexmill.llm.embedding_dedup import OP13_SQL, op13_embedding_dedup
 from lexmill.llm.jaccard_join import OP7_SQL, op7_jaccard_join
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_decontamination": op9_decontamination,
     "op10_passages": op10_passages,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_vector_codes": op12_vector_codes,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
@@ -33,6 +35,7 @@ ORACLES = {
     "op7_jaccard_join": OP7_SQL,
     "op8_url_filter": OP8_SQL,
     "op9_decontamination": OP9_SQL,
+    "op11_conversation_repair": OP11_SQL,
     "op12_vector_codes": OP12_SQL,
     "op13_embedding_dedup": OP13_SQL,
 }
