@@ -48,10 +48,11 @@ def with_originals(pages: DataFrame, *, page_id: str = "page_id", payload: str =
     responses. Null payloads count as empty. Null page_ids come last; among repeated
     page_ids any one row is the response. Result columns in ``pages`` are replaced.
 
-    ``pages`` is read more than once and must give the same rows in the same order each time, as
-    files and written tables do. Payloads stay where they are, but for those whose digest a
-    blocked Bloom filter of the repeated digests lets through: these are joined, each original
-    copied ``salts`` times, so that a payload with a third of all rows is dealt to as many tasks."""
+    ``pages`` is read more than once and must give the same rows each time, in whatever order and
+    number of tasks. Payloads stay where they are, but for those whose digest a blocked Bloom filter
+    of the repeated digests lets through: these are written with a row number and joined, each original
+    copied ``salts`` times, so that a payload with a third of all rows is dealt to as many tasks.
+    Payloads of any length that Spark holds are taken whole; one of them must fit a task."""
     out_of_the_way(pages, page_id, payload)
     added = ("digest", "payload_bytes", "record_type", "refers_to")
     body = F.coalesce(F.col(f"`{payload}`"), F.lit(""))
@@ -59,19 +60,21 @@ def with_originals(pages: DataFrame, *, page_id: str = "page_id", payload: str =
         *[F.col(f"`{c}`") for c in pages.columns if c not in added],
         base32_of_hex(F.sha1(body.cast("binary"))).alias("digest"),
         F.octet_length(body).cast("long").alias("payload_bytes"),
-        F.struct(F.col(f"`{page_id}`").isNull().alias("last"), F.col(f"`{page_id}`").alias("id"), F.monotonically_increasing_id().alias("row")).alias("__self"),
     )
-    groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.min("__self").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
-    groups = durable(groups.drop("__n"), "repeated-payloads", few=True)
-    copies = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    maybe = possible(groups, "digest", "digest")
-    tested = rows.withColumn("__maybe", maybe)
-    salted = tested.where("__maybe").withColumn("__salt", F.pmod(F.xxhash64("__self.row"), F.lit(salts)).cast("int"))
+    groups = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("digest", "payload_bytes").agg(F.count("*").alias("__n")).where("__n > 1")
+    groups = durable(groups.select("digest"), "repeated-payloads", few=True)
+    tested = rows.withColumn("__maybe", possible(groups, "digest", "digest"))
+    own = F.struct(F.col(f"`{page_id}`").isNull().alias("last"), F.col(f"`{page_id}`").alias("id"), F.monotonically_increasing_id().alias("row"))
+    # row numbers depend on how a scan is split: they are written once, before anything compares them
+    suspects = durable(tested.where("__maybe").withColumn("__self", own), "suspects")
+    firsts = suspects.groupBy("digest", "payload_bytes").agg(F.min("__self").alias("__first"))
+    copies = firsts.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = suspects.withColumn("__salt", F.pmod(F.xxhash64("__self.row"), F.lit(salts)).cast("int"))
     joined = salted.join(copies, ["digest", "payload_bytes", "__salt"], "left")
     again = F.col("__first").isNotNull() & (F.col("__first") != F.col("__self")) & (F.col("payload_bytes") >= min_bytes)
     joined = joined.withColumn("record_type", F.when(again, "revisit").otherwise("response")).withColumn("refers_to", F.when(again, F.col("__first.id")))
     alone = tested.where(~F.col("__maybe")).withColumn("record_type", F.lit("response")).withColumn("refers_to", F.lit(None).cast(pages.schema[page_id].dataType))
-    return alone.drop("__self", "__maybe").unionByName(joined.drop("__self", "__maybe", "__first", "__salt"))
+    return alone.drop("__maybe").unionByName(joined.drop("__self", "__maybe", "__first", "__salt"))
 
 
 def _safe(url: str) -> str:

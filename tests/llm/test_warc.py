@@ -63,3 +63,28 @@ def test_damage_raises():
 
 def test_empty_table(spark):
     assert W.archived(spark.createDataFrame([], PAGES)).count() == 0
+
+
+def test_a_changed_cluster_loses_no_original(spark, tmp_path):
+    """The scan is split into other tasks between the call and the read, as when executors come or go."""
+    key = "spark.sql.leafNodeDefaultParallelism"
+    rows = [(i, f"u{i}", f"<p>{i % 250}</p>" * 40) for i in range(750)] + [(5, "twice", "<p>5</p>" * 40)] * 2
+    spark.createDataFrame(rows, PAGES).repartition(6, "page_id").write.parquet(str(tmp_path / "pages"))
+    try:
+        spark.conf.set(key, "4")
+        df = W.with_originals(spark.read.parquet(str(tmp_path / "pages")))
+        spark.conf.set(key, "1")
+        got = df.select("page_id", "record_type", "refers_to").collect()
+    finally:
+        spark.conf.unset(key)
+    assert sum(r["record_type"] == "revisit" for r in got) == 502
+    assert sorted(r["page_id"] for r in got if r["record_type"] == "response") == list(range(250))
+    assert all(r["refers_to"] == r["page_id"] % 250 for r in got if r["record_type"] == "revisit")
+
+
+def test_one_long_payload(spark):
+    html = "<p>é</p>" * 1_000_000
+    got = {r["page_id"]: r for r in W.archived(spark.createDataFrame([(1, "u", html), (2, "v", html), (3, "w", "x")], PAGES)).collect()}
+    assert (got[1]["record_type"], got[2]["refers_to"]) == ("response", 1)
+    assert got[2]["payload_bytes"] == len(html.encode())
+    assert got[2]["payload_digest"] == base64.b32encode(hashlib.sha1(html.encode()).digest()).decode()
