@@ -152,16 +152,19 @@ def place_pieces(pieces: DataFrame, *, length: int = LENGTH, bucket_rows: int =
     offset. Every row is placed; rows alike in all columns are placed one by one.
     Columns called sequence_id or offset are replaced; no rows in, no rows out.
 
-    ``pieces`` is read more than once and must give the same rows each time (a written table)."""
+    ``pieces`` is computed once and written with a number for each row, by which pieces of a length are
+    dealt to buckets and ranked in them: numbers that were computed again could differ, if the cluster's size has
+    changed."""
     out_of_the_way(pieces, "doc_id", "piece", "length")
     spark = pieces.sparkSession
     keep = [c for c in pieces.columns if c not in ("sequence_id", "offset")]
+    numbered = pieces.select(*[F.col(f"`{c}`") for c in keep], F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()).alias("__number"))
+    pieces = durable(numbered, "pieces")
     totals = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most ``length`` rows
     bucket_rows = max(bucket_rows, sum(totals.values()) // max_buckets)
     buckets = [max(1, -(-totals.get(size, 0) // bucket_rows)) for size in range(length + 1)]
     of_length = F.element_at(F.array(*map(F.lit, buckets)), F.col("length").cast("int") + 1)
-    number = F.xxhash64("doc_id", "piece", F.monotonically_increasing_id())
-    rows = pieces.select(*[F.col(f"`{c}`") for c in keep], F.pmod(number, of_length).cast("int").alias("__bucket"))
+    rows = pieces.withColumn("__bucket", F.pmod("__number", of_length).cast("int"))
     # at most length + max_buckets rows, whatever the input
     base = rows.groupBy("length", "__bucket").count().orderBy("length", "__bucket").toArrow()
     sizes, bucket, n = (base.column(c).to_numpy() for c in ("length", "__bucket", "count"))
@@ -180,7 +183,7 @@ def place_pieces(pieces: DataFrame, *, length: int = LENGTH, bucket_rows: int =
         own = [r for r in plan if r.length == size]
         table[size] = tuple(np.array([getattr(r, k) for r in own], np.int64) for k in ("rank", "bin", "each", "offset"))
     shared = spark.sparkContext.broadcast((starts, heads, table))
-    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket", "length").orderBy("doc_id", "piece")) - 1)
+    ranked = rows.withColumn("__rank", F.row_number().over(Window.partitionBy("__bucket", "length").orderBy("doc_id", "piece", "__number")) - 1)
 
     def run(batches):
         starts, heads, table = shared.value
@@ -217,4 +220,4 @@ def op2_packing(spark, sf_dir: str) -> DataFrame:
 def packed(docs: DataFrame) -> DataFrame:
     """The contract's columns; the ids are reduced to their checksum before they are stored."""
     pieces = tokenize_pieces(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return place_pieces(durable(pieces, "pieces"))
+    return place_pieces(pieces)

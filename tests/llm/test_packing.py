@@ -131,3 +131,23 @@ def test_many_batches_and_buckets_give_the_same_packing(spark):
             assert len(seqs) == len(best_fit([x[2] for x in rows], 1024))
     finally:
         spark.conf.set(key, before)
+
+
+def test_a_changed_cluster_overlaps_nothing(spark, tmp_path):
+    """The scan is split into other tasks between the call and the read, as when executors come or go."""
+    key = "spark.sql.leafNodeDefaultParallelism"
+    rows = [(i, j, n) for n in (3, 5, 700) for i in range(700) for j in range(2)]
+    spark.createDataFrame(rows, "doc_id long, piece int, length long").repartition(6, "doc_id").write.parquet(str(tmp_path / "pieces"))
+    try:
+        spark.conf.set(key, "4")
+        df = P.place_pieces(spark.read.parquet(str(tmp_path / "pieces")), bucket_rows=32)
+        spark.conf.set(key, "1")
+        placed = df.collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(placed) == len(rows)
+    ends = {}
+    for r in sorted(placed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends.get(r["sequence_id"], 0)
+        ends[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(ends.values()) <= P.LENGTH
