@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexmill.operators.quantiles import exact_quantiles
+
 
 def distribution(rows: DataFrame, groups: list[str], score: str) -> DataFrame:
-    """count, min, max and exact quartiles (linear interpolation) of a score per group."""
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return rows.groupBy(*groups).agg(F.count(score).alias("n"), F.min(score).alias("min"), F.max(score).alias("max"), q.alias("q")).select(*groups, "n", "min", "max", *[F.col("q")[i].alias(f"p{p}") for i, p in enumerate((25, 50, 75))])
+    """count, min, max and exact quartiles (linear interpolation) of a score per group; a group without scores has n 0."""
+    ends = rows.groupBy(*groups).agg(F.count(score).alias("n"), F.min(score).alias("min"), F.max(score).alias("max"))
+    q = exact_quantiles(rows, groups, score, [0.25, 0.5, 0.75]).toDF(*[f"__{c}" for c in groups], "q")
+    both = ends.join(q, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in groups], "left")
+    return both.select(*groups, "n", "min", "max", *[F.get("q", F.lit(i)).alias(f"p{p}") for i, p in enumerate((25, 50, 75))])
 
 
 def separation(rows: DataFrame, group: str, positive: str, score: str) -> DataFrame:
@@ -45,8 +49,10 @@ def query_accuracy(rows: DataFrame, group: str, query: str, correct: str) -> Dat
 def thresholds(rows: DataFrame, positive: str, score: str) -> DataFrame:
     """high: median of positives; medium: at most high, midpoint of the classes."""
     pos = F.col(positive)
-    s = rows.agg(F.percentile(F.when(pos, F.col(score)), 0.5).alias("high"), ((F.min(F.when(pos, F.col(score))) + F.max(F.when(~pos, F.col(score)))) / 2).alias("mid"))
-    return s.select("high", F.least("high", "mid").alias("medium"))
+    mid = rows.agg(((F.min(F.when(pos, F.col(score))) + F.max(F.when(~pos, F.col(score)))) / 2).alias("mid"))
+    high = exact_quantiles(rows.where(pos), [], score, [0.5]).select(F.get("q", F.lit(0)).alias("high"))
+    # one row each; without positives high is null
+    return mid.join(high, F.lit(True), "left").select("high", F.least("high", "mid").alias("medium"))
 
 
 def missing_cells(rows: DataFrame, axes: list[str], split: str, splits: list[str]) -> DataFrame:

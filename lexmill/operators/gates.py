@@ -41,19 +41,6 @@ def sensitive_lines(claims: DataFrame, evidence: DataFrame, least: int = 12) ->
     return rows.join(evidence.select(F.col("line").alias("claim")).distinct(), "claim", "left_semi").groupBy("doc_id").agg(F.count("*").alias("n_lines"))
 
 
-def absent_terms(terms: DataFrame, key: str, pages: DataFrame, text: str, most: int = 10_000) -> DataFrame:
-    """key, absent: whether no page holds the key's term.
-
-    Terms are questions, a declared list of at most ``most``, which is checked; pages of any
-    number are scanned once, in parallel, with all terms."""
-    listed = [r["term"] for r in terms.select("term").distinct().limit(most + 1).collect()]
-    if len(listed) > most:
-        raise ValueError(f"more than {most} terms")
-    low = pages.select(F.lower(text).alias("__t"))
-    found = low.select(F.explode(F.filter(F.array(*map(F.lit, listed)), lambda t: F.contains("__t", t))).alias("term")).distinct()
-    return terms.join(found.withColumn("__hit", F.lit(True)), "term", "left").select(key, F.col("__hit").isNull().alias("absent"))
-
-
 def faithful(claims: DataFrame, bodies: DataFrame, key: str) -> DataFrame:
     """key, status: faithful if every claim of the key stands in its body, else the fallback."""
     held = claims.join(bodies, key).groupBy(key).agg(F.bool_and(F.contains("body", F.col("claim"))).alias("all"))

@@ -39,17 +39,17 @@ def normalized_target(source, target):
 def hops(edges: DataFrame, entries: DataFrame, most: int | None = None) -> DataFrame:
     """node, hops: fewest edges (src, dst) from any entry (node), up to ``most``.
 
-    Each level joins only the new nodes; a node is visited once."""
+    Each level joins only the new nodes, a node is visited once, and each level is stored once, as a table of its own."""
     edges = _checkpointed(edges.select("src", "dst").distinct())
-    seen = _checkpointed(entries.select("node").distinct().withColumn("hops", F.lit(0)))
-    front, level = seen, 0
+    front = _checkpointed(entries.select("node").distinct().withColumn("hops", F.lit(0)))
+    seen, level = front, 0
     while most is None or level < most:
         level += 1
         step = front.join(edges, front["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         front = _checkpointed(step.join(seen, "node", "left_anti").withColumn("hops", F.lit(level)))
         if not front.limit(1).count():
             break
-        seen = _checkpointed(seen.unionByName(front))
+        seen = seen.unionByName(front)
     return seen
 
 

@@ -86,3 +86,34 @@ def either_key(left: DataFrame, key: str, columns: list[str], right: DataFrame,
 def dependency_violations(rows: DataFrame, determinant: str, dependent: str) -> DataFrame:
     """Values of ``determinant`` that come with more than one ``dependent``."""
     return rows.groupBy(determinant).agg(F.count_distinct(dependent).alias("n")).where("n > 1")
+
+
+def merge_snapshots(index: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(merged, codes): topics of ``index`` with the relations of ``snapshot``, and what keeps the two from matching one to one.
+
+    Both have topic_id, digest_topic_id, topic_key; the first that is not blank names the row. ``index`` may have
+    any other columns; of ``snapshot`` count related_topic_refs, old_path_mapping and related_topic_ids. merged: name, row (all of the
+    index row), related_topic_refs, for names that are once on both sides and have no code. codes: side, name, code, n:
+    NAME_MISSING (n rows without a name), NAME_REPEATED, NOT_IN_SNAPSHOT, NOT_IN_INDEX, OLD_PATHS_FOREIGN (only the
+    index says where pages were), RELATIONS_WITHOUT_EVIDENCE. Both sides meet in one grouping by name, and each sends a count and a
+    row for a name: names that repeat a third of all rows meet as one."""
+    ids = ("topic_id", "digest_topic_id", "topic_key")
+    name = F.coalesce(*[F.when(F.trim(c) != "", F.trim(c)) for c in ids])
+    kept = F.struct(*[F.col(f"`{c}`") for c in index.columns])
+    refs = dict(snapshot.dtypes)["related_topic_refs"]
+    kind = index.select(kept.alias("row")).schema["row"].dataType
+    no = F.lit(False)
+    a = index.select(name.alias("name"), kept.alias("row"), F.lit(None).cast(refs).alias("refs"), no.alias("old_paths"), no.alias("bare"), F.lit(1).alias("a"), F.lit(0).alias("b"))
+    b = snapshot.select(name.alias("name"), F.lit(None).cast(kind).alias("row"), F.col("related_topic_refs").alias("refs"), F.col("old_path_mapping").isNotNull().alias("old_paths"), F.col("related_topic_ids").isNotNull().alias("bare"), F.lit(0).alias("a"), F.lit(1).alias("b"))
+    both = a.unionByName(b).groupBy("name").agg(F.first("row", ignorenulls=True).alias("row"), F.first("refs", ignorenulls=True).alias("refs"), F.bool_or("old_paths").alias("old_paths"), F.bool_or("bare").alias("bare"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    named, has_a, has_b = F.col("name").isNotNull(), F.col("a") > 0, F.col("b") > 0
+    code = lambda fits, side, label, n: F.when(fits, F.struct(F.lit(side).alias("side"), F.lit(label).alias("code"), n.alias("n")))
+    found = F.array_compact(F.array(
+        code(~named & has_a, "index", "NAME_MISSING", F.col("a")), code(~named & has_b, "snapshot", "NAME_MISSING", F.col("b")),
+        code(named & (F.col("a") > 1), "index", "NAME_REPEATED", F.col("a")), code(named & (F.col("b") > 1), "snapshot", "NAME_REPEATED", F.col("b")),
+        code(named & has_a & ~has_b, "index", "NOT_IN_SNAPSHOT", F.col("a")), code(named & has_b & ~has_a, "snapshot", "NOT_IN_INDEX", F.col("b")),
+        code(named & F.col("old_paths"), "snapshot", "OLD_PATHS_FOREIGN", F.col("b")), code(named & F.col("bare"), "snapshot", "RELATIONS_WITHOUT_EVIDENCE", F.col("b")),
+    ))
+    rows = both.withColumn("found", found)
+    codes = rows.select("name", F.explode("found").alias("f")).select("f.side", "name", "f.code", "f.n")
+    return rows.where(F.size("found") == 0).select("name", "row", F.col("refs").alias("related_topic_refs")), codes

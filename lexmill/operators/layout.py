@@ -117,3 +117,27 @@ def module_prefixes(rows: DataFrame, path: str) -> DataFrame:
     parts = F.split(path, "/")
     each = rows.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("prefix"), i.alias("depth")))).alias("x"))
     return each.groupBy("x.prefix", "x.depth").agg(F.count("*").alias("n"))
+
+
+def nested_sections(docs: DataFrame, key: str, text: str, levels: int = 6) -> DataFrame:
+    """key, line_no, heading, level, line_end, body, substantive: every heading with all below it up to the next heading of
+    its level or a smaller one.
+
+    line_end is the last line of that; body the lines that are no headings; substantive whether it has four letters or
+    digits. One sorted pass keeps, for each level, where its last heading stands; a line belongs to those headings that no
+    later one of a smaller level has closed, ``levels`` at most. A null text has no sections."""
+    lines = docs.select(key, F.posexplode(F.split(F.regexp_replace(text, "\r\n?", "\n"), "\n", -1)).alias("p", "line")).withColumn("line_no", F.col("p") + 1)
+    level = F.when(F.col("line").rlike(r"^#{1,6}\s+"), F.length(F.regexp_extract("line", "^(#+)", 1)))
+    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = lines.withColumn("level", level)
+    last = [F.last(F.when(F.col("level") == k, F.col("line_no")), ignorenulls=True).over(upto).alias(f"__h{k}") for k in range(1, levels + 1)]
+    rows = rows.select(key, "line_no", "line", "level", *last)
+    nothing = F.lit(0)
+    closed = lambda k: F.greatest(nothing, nothing, *[F.coalesce(f"__h{j}", nothing) for j in range(1, k)])
+    open_ = F.array_compact(F.array(*[F.when(F.col(f"__h{k}") > closed(k), F.col(f"__h{k}")) for k in range(1, levels + 1)]))
+    each = rows.select(key, "line_no", "line", "level", F.explode(open_).alias("at"))
+    own = F.col("line_no") == F.col("at")
+    inside = F.sort_array(F.collect_list(F.when(F.col("level").isNull(), F.struct("line_no", "line"))))
+    found = each.groupBy(key, "at").agg(F.max(F.when(own, F.col("line"))).alias("head"), F.max(F.when(own, F.col("level"))).alias("level"), F.max("line_no").alias("line_end"), F.array_join(F.transform(inside, lambda x: x["line"]), "\n").alias("body"))
+    letters = F.char_length(F.regexp_replace("body", r"[^\p{L}\p{N}]+", ""))
+    return found.select(key, F.col("at").alias("line_no"), F.regexp_replace("head", r"^#{1,6}\s+", "").alias("heading"), "level", "line_end", "body", (letters >= 4).alias("substantive"))

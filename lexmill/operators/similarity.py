@@ -1,8 +1,7 @@
-"""Token-set and vector similarity, threshold joins, clusters, top-k."""
+"""Token-set and vector similarity, threshold joins, top-k."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,56 +111,6 @@ def page_decision(matches: DataFrame, queries: DataFrame, key: str, page: str, t
     return rows.select(key, F.when(F.col("n_matches") == 0, "new").when(F.col("n_matches") == 1, "revise").otherwise("merge_multiple").alias("action"), "n_matches")
 
 
-def smallest_reachable(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
-    """key, component: smallest node reachable over undirected ``edges`` (a, b); loops, isolated nodes alike.
-
-    Labels move to the smallest neighbour until none changes; each round is checkpointed."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().persist()
-    label = nodes.select(F.col(key).alias("a"), F.col(key).alias("c"))
-    while True:
-        near = both.join(label.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").groupBy("a").agg(F.min("d").alias("d"))
-        moved = label.join(near, "a", "left").select("a", F.least("c", F.coalesce("d", "c")).alias("c"), (F.coalesce("d", "c") < F.col("c")).alias("moved"))
-        moved = stored(moved)
-        label = moved.select("a", "c")
-        if not moved.where("moved").limit(1).count():
-            return label.select(F.col("a").alias(key), F.col("c").alias("component"))
-
-
-def greedy_clusters(pairs: DataFrame, components: DataFrame, key: str) -> DataFrame:
-    """key, cluster (its first member): complete-linkage clusters, members taken in key order; a row
-    joins the first cluster all of whose members it is paired with.
-
-    The greedy order never crosses components, so each component is clustered on its own. A
-    component is as large as a chain of near duplicates; its pairs must fit one task."""
-    rows = components.join(pairs.groupBy("b").agg(F.collect_list("a").alias("near")), components[key] == F.col("b"), "left").select(F.col(key).alias("k"), "component", "near")
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        clusters, out = [], []
-        for k, near in group.sort_values("k")[["k", "near"]].itertuples(index=False):
-            linked = set() if near is None else set(near)
-            for members in clusters:
-                if members <= linked:
-                    members.add(k)
-                    out.append((k, min(members)))
-                    break
-            else:
-                clusters.append({k})
-                out.append((k, k))
-        return pd.DataFrame(out, columns=["k", "cluster"])
-
-    return rows.groupBy("component").applyInPandas(walk, "k long, cluster long").withColumnRenamed("k", key)
-
-
-def tier_of_clusters(clusters: DataFrame, pairs: DataFrame, key: str, n_tokens: DataFrame, high: float = 0.90, medium: float = 0.80) -> DataFrame:
-    """cluster, n_members, min_score, tier: least pair score inside each cluster, 1 for single members."""
-    a, b = clusters.select(F.col(key).alias("a"), F.col("cluster").alias("ca")), clusters.select(F.col(key).alias("b"), F.col("cluster").alias("cb"))
-    inner = pairs.join(a, "a").join(b, "b").where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.min("score").alias("m"))
-    size = clusters.join(n_tokens, key).groupBy("cluster").agg(F.count("*").alias("n_members"), F.min("n").alias("least"))
-    score = F.coalesce("m", F.lit(1.0))
-    tier = F.when(F.col("least") < 3, "insufficient_signal").when(score >= high, "auto").when(score >= medium, "needs_review").otherwise("insufficient_signal")
-    return size.join(inner, "cluster", "left").select("cluster", "n_members", score.alias("min_score"), tier.alias("tier"))
-
-
 def term_chunks(x, stride: int = 2) -> Column:
     """Latin runs of two and more, and two-character pieces of CJK runs."""
     runs = F.regexp_extract_all(F.lower(x), F.lit("([a-z0-9]{2,}|[一-鿿]+)"), 1)

@@ -42,18 +42,6 @@ def labelled(column: str, labels: dict[str, str]) -> Column:
     return F.coalesce(F.create_map(*pairs)[F.col(column)], T.slug(column))
 
 
-def category_votes(rows: DataFrame, key: str, text: str, terms: DataFrame, pending: str = "pending") -> DataFrame:
-    """key, category: the category most of whose terms occur in the text; ties to the first by
-    name, ``pending`` without a hit. ``terms`` (category, term) is a small declared table."""
-    cases = {}
-    for r in terms.collect():  # a declared vocabulary, not data
-        cases.setdefault(r["category"], []).append(r["term"].lower())
-    low = F.col("__low")
-    scores = [F.struct((-sum((F.contains(low, F.lit(t)).cast("int") for t in own), F.lit(0))).alias("minus"), F.lit(c).alias("category")) for c, own in sorted(cases.items())]
-    best = F.array_min(F.array(*scores))
-    return rows.withColumn("__low", T.casefold(text)).select(key, F.when(best["minus"] < 0, best["category"]).otherwise(pending).alias("category"))
-
-
 def tiered_match(records: DataFrame, key: str, tiers: list[tuple[str, Column]], entries: DataFrame) -> DataFrame:
     """key, tier, canonical, status: dimension match by the first tier that has a hit.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lexmill.operators import calibrate as C
 from lexmill.operators import dedup as D
 from lexmill.operators import ledger as R
+from lexmill.operators.quantiles import exact_quantiles
 from lexmill.plans.base import CLAIMS, SOURCES, Tables, query
 
 #: Cases: each vector's first component as a score, its label's parity as the class.
@@ -104,7 +105,7 @@ def _(spark, d):
 
 @query("agg_16_quantile", "SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) AS p90 FROM orders GROUP BY 1")
 def _(spark, d):
-    return Tables(spark, d).orders.groupBy("o_orderpriority").agg(F.round(F.percentile("o_totalprice", F.lit(0.9)), 4).alias("p90"))
+    return exact_quantiles(Tables(spark, d).orders, ["o_orderpriority"], "o_totalprice", [0.9]).select("o_orderpriority", F.round(F.col("q")[0], 4).alias("p90"))
 
 
 @query("agg_17_separation", f"WITH {CASES_SQL}, e AS (SELECT split, min(score) FILTER (positive) AS a, max(score) FILTER (NOT positive) AS b FROM cases GROUP BY 1) SELECT split, count(*) FILTER ((positive AND score <= b) OR (NOT positive AND score >= a)) AS overlap_count, round(count(*) FILTER ((positive AND score <= b) OR (NOT positive AND score >= a)) / count(*), 6) AS overlap_rate, round(any_value(a) - any_value(b), 6) AS margin FROM cases JOIN e USING (split) GROUP BY split")

@@ -67,14 +67,36 @@ def _(spark, d):
     return c.groupBy("conv_id").agg(F.sum(F.col("line_end") - F.col("line_start") + 1).alias("n_lines"))
 
 
+#: Lineages and strata that a split is found for; they are declared groups of cases, not cases.
+MOST_STRATA = 100_000
+
+
+def lineage_strata(rows):
+    """(lineage, stratum) of ``rows``, once each; an error beyond a stated number."""
+    found = rows.select("lineage", "stratum").distinct().limit(MOST_STRATA + 1).collect()
+    if len(found) > MOST_STRATA:
+        raise ValueError(f"more than {MOST_STRATA} pairs of lineage and stratum")
+    return [tuple(r) for r in found]
+
+
 @query("sim_15_lineage_split", "SELECT DISTINCT 'lineage-' || label AS lineage FROM embeddings")
 def _(spark, d):
-    # lineages are labels: a handful of groups of cases, not cases
-    pairs = Tables(spark, d).embeddings.select(F.concat(F.lit("lineage-"), F.col("label").cast("string")).alias("lineage"), F.when(F.col("embedding")[0] > 0, "positive").otherwise("negative").alias("stratum")).distinct().collect()
-    chosen = runner.split_lineages([(r["lineage"], r["stratum"]) for r in pairs])
+    rows = Tables(spark, d).embeddings.select(F.concat(F.lit("lineage-"), F.col("label").cast("string")).alias("lineage"), F.when(F.col("embedding")[0] > 0, "positive").otherwise("negative").alias("stratum"))
+    chosen = runner.split_lineages(lineage_strata(rows))
     return spark.createDataFrame([(k,) for k in sorted(chosen)], "lineage string")
 
 
+@query("sim_15_split_coverage", """WITH s AS (SELECT DISTINCT 'lineage-' || label AS lineage, CASE i WHEN 5 THEN 'only ' || label % 4 ELSE 'c' || i || CASE WHEN embedding[i] > 0 THEN '+' ELSE '-' END END AS stratum FROM embeddings, (VALUES (1), (2), (3), (4), (5)) x(i))
+SELECT stratum, count(*) AS n_lineages, count(*) > 1 AS in_both FROM s GROUP BY 1""")
+def _(spark, d):
+    # a split is good if each stratum with two lineages has one on either side
+    sign = lambda i: F.concat(F.lit(f"c{i + 1}"), F.when(F.col("embedding")[i] > 0, "+").otherwise("-"))
+    strata = F.array(*map(sign, range(4)), F.concat(F.lit("only "), (F.col("label") % 4).cast("string")))
+    rows = Tables(spark, d).embeddings.select(F.concat(F.lit("lineage-"), F.col("label").cast("string")).alias("lineage"), F.explode(strata).alias("stratum")).distinct()
+    chosen = spark.createDataFrame(sorted(runner.split_lineages(lineage_strata(rows)).items()), "lineage string, side string")
+    return rows.join(chosen, "lineage", "left").groupBy("stratum").agg(F.count("*").alias("n_lineages"), (F.count_distinct("side") == 2).alias("in_both"))
+
+
 @query("sim_17_calibration_result", "SELECT label, count(*) AS n, round(min(CAST(embedding[1] AS DOUBLE)), 6) AS lo, round(max(CAST(embedding[1] AS DOUBLE)), 6) AS hi FROM embeddings GROUP BY label")
 def _(spark, d):
     from lexmill.operators.calibrate import distribution

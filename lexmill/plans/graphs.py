@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.operators import graph as G
+from lexmill.operators import routes as W
 from lexmill.plans.base import Tables, query
 
 EDGE_SQL = """links AS (SELECT page_id, generate_subscripts(regexp_extract_all(html, 'href="([^"]*)"', 1), 1) - 1 AS pos, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages),
@@ -114,3 +115,43 @@ def _(spark, d):
     e = supply(Tables(spark, d)).select("src", "dst")
     both = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     return G.hops(both, spark.createDataFrame([(1,)], "node long")).select("node")
+
+
+#: A question for each supplier: from the first supplier of its nation (every seventh from nowhere) to itself (every tenth to no page).
+QUESTION_SQL = f"""{SUPPLY_SQL}, page AS (SELECT s_suppkey AS node FROM supplier), edge AS (SELECT src, dst FROM e WHERE dst IN (SELECT node FROM page)),
+q AS (SELECT s_suppkey AS question, CASE WHEN s_suppkey % 7 = 3 THEN -1 ELSE min(s_suppkey) OVER (PARTITION BY s_nationkey) END AS entry, CASE WHEN s_suppkey % 10 = 4 THEN s_suppkey + 1000000 ELSE s_suppkey END AS target FROM supplier),
+start AS (SELECT DISTINCT entry FROM q WHERE entry IN (SELECT node FROM page)),
+walks AS (SELECT entry, entry AS node, 0 AS hops FROM start UNION SELECT w.entry, edge.dst, w.hops + 1 FROM walks w JOIN edge ON edge.src = w.node WHERE w.hops < 20),
+h AS MATERIALIZED (SELECT entry, node, min(hops) AS hops FROM walks GROUP BY ALL),
+route AS (SELECT entry, entry AS node, 0 AS hops, [entry] AS path FROM start UNION ALL
+  SELECT * FROM (SELECT r.entry, edge.dst AS node, r.hops + 1 AS hops, min(list_append(r.path, edge.dst)) AS path FROM route r JOIN edge ON edge.src = r.node JOIN h ON h.entry = r.entry AND h.node = edge.dst AND h.hops = r.hops + 1 GROUP BY ALL)),
+answered AS (SELECT question, q.entry, target, CASE WHEN r.hops IS NOT NULL THEN 'reached' WHEN q.entry NOT IN (SELECT node FROM page) THEN 'entry_missing' WHEN target NOT IN (SELECT node FROM page) THEN 'target_missing' ELSE 'unreachable' END AS status, r.hops, r.path FROM q LEFT JOIN route r ON r.entry = q.entry AND r.node = target)"""
+
+
+def questions(t: Tables):
+    k = F.col("s_suppkey")
+    first = t.supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("first"))
+    rows = t.supplier.join(first, "s_nationkey")
+    return rows.select(k.alias("question"), F.when(k % 7 == 3, F.lit(-1)).otherwise(F.col("first")).cast("long").alias("entry"), F.when(k % 10 == 4, k + 1000000).otherwise(k).cast("long").alias("target"))
+
+
+def routed(t: Tables):
+    pages = t.supplier.select(F.col("s_suppkey").cast("long").alias("node"))
+    return W.question_routes(supply(t).withColumn("pos", F.col("dst")), pages, questions(t))
+
+
+@query("gte_11_question_routes", f"WITH RECURSIVE {QUESTION_SQL} SELECT question, entry, target, status, hops, array_to_string(path, '>') AS route FROM answered")
+def _(spark, d):
+    return routed(Tables(spark, d)).withColumn("route", F.array_join("route", ">"))
+
+
+@query("gte_11_navigation_codes", f"""WITH RECURSIVE {QUESTION_SQL}, a AS (SELECT *, question % 5 <> 2 AS positive, CASE question % 6 WHEN 0 THEN NULL WHEN 1 THEN CASE WHEN path IS NOT NULL THEN list_append(path, -5) END ELSE path END AS jumps, CASE question % 4 WHEN 0 THEN target WHEN 1 THEN 0 END AS hit FROM answered)
+SELECT question, 'ROUTE_MISSING' AS code FROM a WHERE path IS NULL UNION ALL SELECT question, 'JUMPS_INVALID' FROM a WHERE jumps IS NULL UNION ALL SELECT question, 'JUMPS_OFF_ROUTE' FROM a WHERE jumps <> path
+UNION ALL SELECT question, 'HIT_OFF_TARGET' FROM a WHERE positive AND hit <> target UNION ALL SELECT question, 'NEGATIVE_HIT' FROM a WHERE NOT positive AND hit IS NOT NULL""")
+def _(spark, d):
+    # answers that follow the route, leave it, or say nothing
+    found = routed(Tables(spark, d))
+    k = F.col("question")
+    jumps = F.when(k % 6 == 0, F.lit(None)).when(k % 6 == 1, F.concat("route", F.array(F.lit(-5).cast("long")))).otherwise(F.col("route"))
+    hit = F.when(k % 4 == 0, F.col("target")).when(k % 4 == 1, F.lit(0).cast("long"))
+    return W.check_jumps(found.select("question", (k % 5 != 2).alias("positive"), jumps.alias("jumps"), hit.alias("first_hit")), found)

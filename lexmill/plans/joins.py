@@ -211,3 +211,36 @@ def _(spark, d):
 @query("set_09_snapshot_union", "SELECT user_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def _(spark, d):
     return Tables(spark, d).events.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("event_type"))
+
+
+#: Customers as topics, and a snapshot of them that lacks some, has others twice, and knows some that are none.
+MERGE_SQL = """i AS (SELECT CASE WHEN c_custkey % 17 = 0 THEN ' ' ELSE 't' || c_custkey END AS topic_id, CASE WHEN c_custkey % 51 <> 0 THEN 'd' || c_custkey END AS digest_topic_id, c_custkey, again FROM customer, (VALUES (1), (2)) r(again) WHERE again = 1 OR c_custkey % 29 = 3),
+s AS (SELECT CASE WHEN c_custkey % 31 = 7 THEN 'u' || c_custkey WHEN c_custkey % 17 <> 0 THEN 't' || c_custkey END AS topic_id, 'd' || c_custkey AS digest_topic_id, c_nationkey, c_custkey % 41 = 1 AS old_paths, c_custkey % 43 = 1 AS bare FROM customer, (VALUES (1), (2)) r(again) WHERE c_custkey % 13 <> 5 AND (again = 1 OR c_custkey % 37 = 2)),
+ni AS (SELECT *, coalesce(nullif(trim(topic_id), ''), digest_topic_id) AS name FROM i), nsn AS (SELECT *, coalesce(topic_id, digest_topic_id) AS name FROM s),
+ci AS (SELECT name, count(*) AS n FROM ni GROUP BY 1), cs AS (SELECT name, count(*) AS n, bool_or(old_paths) AS old_paths, bool_or(bare) AS bare FROM nsn GROUP BY 1),
+codes AS (SELECT 'index' AS side, name, 'NAME_MISSING' AS code, n FROM ci WHERE name IS NULL UNION ALL SELECT 'snapshot', name, 'NAME_MISSING', n FROM cs WHERE name IS NULL
+UNION ALL SELECT 'index', name, 'NAME_REPEATED', n FROM ci WHERE name IS NOT NULL AND n > 1 UNION ALL SELECT 'snapshot', name, 'NAME_REPEATED', n FROM cs WHERE name IS NOT NULL AND n > 1
+UNION ALL SELECT 'index', name, 'NOT_IN_SNAPSHOT', n FROM ci WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM cs WHERE name IS NOT NULL) UNION ALL SELECT 'snapshot', name, 'NOT_IN_INDEX', n FROM cs WHERE name IS NOT NULL AND name NOT IN (SELECT name FROM ci WHERE name IS NOT NULL)
+UNION ALL SELECT 'snapshot', name, 'OLD_PATHS_FOREIGN', n FROM cs WHERE name IS NOT NULL AND old_paths UNION ALL SELECT 'snapshot', name, 'RELATIONS_WITHOUT_EVIDENCE', n FROM cs WHERE name IS NOT NULL AND bare)"""
+
+
+def snapshots(t: Tables):
+    k = F.col("c_custkey")
+    text = lambda p: F.concat(F.lit(p), k.cast("string"))
+    twice = lambda fits: F.explode(F.when(fits, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    index = t.customer.withColumn("again", twice(k % 29 == 3)).select(F.when(k % 17 == 0, " ").otherwise(text("t")).alias("topic_id"), F.when(k % 51 != 0, text("d")).alias("digest_topic_id"), F.lit(None).cast("string").alias("topic_key"), "c_custkey")
+    snapshot = t.customer.where(k % 13 != 5).withColumn("again", twice(k % 37 == 2)).select(
+        F.when(k % 31 == 7, text("u")).when(k % 17 != 0, text("t")).alias("topic_id"), text("d").alias("digest_topic_id"), F.lit(None).cast("string").alias("topic_key"), F.array("c_nationkey").alias("related_topic_refs"),
+        F.when(k % 41 == 1, F.array(F.lit("p"))).alias("old_path_mapping"), F.when(k % 43 == 1, F.array(F.lit("x"))).alias("related_topic_ids"),
+    )
+    return J.merge_snapshots(index, snapshot)
+
+
+@query("join_20_merge_codes", f"WITH {MERGE_SQL} SELECT * FROM codes")
+def _(spark, d):
+    return snapshots(Tables(spark, d))[1]
+
+
+@query("join_20_merged_topics", f"WITH {MERGE_SQL} SELECT ni.name, ni.c_custkey, nsn.c_nationkey AS related FROM ni JOIN nsn ON ni.name = nsn.name WHERE ni.name NOT IN (SELECT name FROM codes WHERE name IS NOT NULL)")
+def _(spark, d):
+    return snapshots(Tables(spark, d))[0].select("name", "row.c_custkey", F.col("related_topic_refs")[0].alias("related"))

@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame
 from lexmill.plans import (  # noqa: F401
     aggregates,
     bodies,
+    drafts,
     extra,
     graphs,
     joins,
     ledgers,
+    pages,
     reviews,
     scalars,
     similarity,

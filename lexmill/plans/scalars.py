@@ -309,7 +309,7 @@ def _(spark, d):
 def _(spark, d):
     t = Tables(spark, d)
     terms = t.benchmark.select("item_id", F.lower(F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" "), F.split_part("text", F.lit(" "), F.lit(2)))).alias("term"))
-    from lexmill.operators.gates import absent_terms
+    from lexmill.operators.terms import absent_terms
 
     return absent_terms(terms, "item_id", t.pages.select("html"), "html")
 

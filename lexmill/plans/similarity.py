@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lexmill.functions import text as T
+from lexmill.operators import clusters as C
 from lexmill.operators import similarity as S
-from lexmill.operators.taxonomy import category_votes
+from lexmill.operators.terms import category_votes
 from lexmill.plans.base import Tables, query
 
 TOK = r"list_distinct(regexp_extract_all(lower(text), '([\p{L}\p{N}_-]+)', 1))"
@@ -85,18 +86,95 @@ def _(spark, d):
     return rows.select("conv_id", "turn", F.round(T.gram_jaccard(g("text"), g("u")), 9).alias("score"))
 
 
-@query("sim_09_greedy_clusters")
+#: The walk over all rows that have a pair, in order, with one label for each: the first cluster that a row fits into is the smallest.
+GREEDY_SQL = """ids AS (SELECT k, CAST(row_number() OVER (ORDER BY k) AS INTEGER) AS r FROM (SELECT a AS k FROM pairs UNION SELECT b FROM pairs)),
+near AS (SELECT y.r, list(x.r) AS near FROM pairs p JOIN ids x ON x.k = p.a JOIN ids y ON y.k = p.b GROUP BY y.r),
+step AS MATERIALIZED (SELECT ids.r, coalesce(near, []) AS near FROM ids LEFT JOIN near USING (r)),
+walk AS (SELECT 0 AS n, CAST([] AS INTEGER[]) AS labels UNION ALL
+  SELECT w.n + 1, list_append(labels, coalesce(list_min(list_filter(list_distinct(list_transform(near, lambda i: labels[i])), lambda c: len(list_filter(range(1, n + 1), lambda j: labels[j] = c AND NOT list_contains(near, j))) = 0)), w.n + 1))
+  FROM walk w JOIN step s ON s.r = w.n + 1),
+last AS (SELECT labels FROM walk ORDER BY n DESC LIMIT 1),
+greedy AS (SELECT d.doc_id, coalesce(c.k, d.doc_id) AS cluster FROM documents d LEFT JOIN ids i ON i.k = d.doc_id LEFT JOIN ids c ON c.r = (SELECT labels FROM last)[i.r])"""
+
+
+def greedy(t: Tables):
+    pairs = S.stored(doc_pairs(t))
+    docs = t.documents.select("doc_id")
+    return pairs, C.greedy_clusters(pairs, C.smallest_reachable(pairs, docs, "doc_id"), "doc_id")
+
+
+@query("sim_09_greedy_clusters", f"WITH RECURSIVE {PAIRS_SQL}, {GREEDY_SQL} SELECT doc_id, cluster FROM greedy")
+def _(spark, d):
+    return greedy(Tables(spark, d))[1]
+
+
+@query("sim_10_cluster_tiers", f"""WITH RECURSIVE {PAIRS_SQL}, {GREEDY_SQL}, m AS (SELECT x.cluster, min(score) AS s FROM pairs JOIN greedy x ON x.doc_id = a JOIN greedy y ON y.doc_id = b AND x.cluster = y.cluster GROUP BY 1),
+z AS (SELECT cluster, count(*) AS n_members, min(len({TOK})) AS least FROM greedy JOIN documents USING (doc_id) GROUP BY 1)
+SELECT cluster, n_members, round(coalesce(s, 1.0), 9) AS min_score, CASE WHEN least < 3 THEN 'insufficient_signal' WHEN coalesce(s, 1.0) >= 0.9 THEN 'auto' ELSE 'needs_review' END AS tier FROM z LEFT JOIN m USING (cluster)""")
 def _(spark, d):
     t = Tables(spark, d)
-    pairs = doc_pairs(t).persist()
-    docs = S.token_sets(t.documents, "doc_id", "text").select("doc_id")
-    return S.greedy_clusters(pairs, S.smallest_reachable(pairs, docs, "doc_id"), "doc_id")
+    pairs, clusters = greedy(t)
+    n = t.documents.select("doc_id", F.size(T.tokens("text")).alias("n"))
+    return C.cluster_tiers(clusters, pairs, "doc_id", n).withColumn("min_score", F.round("min_score", 9))
 
 
 @query("sim_09_components", f"WITH RECURSIVE {PAIRS_SQL}, {COMP_SQL} SELECT a AS doc_id, min(b) AS component FROM r GROUP BY a")
 def _(spark, d):
     t = Tables(spark, d)
-    return S.smallest_reachable(doc_pairs(t), t.documents, "doc_id")
+    return C.smallest_reachable(doc_pairs(t), t.documents, "doc_id")
+
+
+#: Two backends put vectors into clusters, each by the signs of some components; labels are the gold standard.
+GOLD_SQL = """gold AS (SELECT vec_id, label, 'jaccard' AS backend, CAST(embedding[1] > 0 AS INT) * 2 + CAST(embedding[2] > 0 AS INT) AS cluster FROM embeddings
+UNION ALL SELECT vec_id, label, 'embedding', CASE WHEN vec_id % 10 = 3 THEN NULL WHEN vec_id % 4 > 0 THEN label ELSE (label + 1) % 10 END FROM embeddings)"""
+
+
+def gold_rows(t: Tables):
+    e = t.embeddings
+    sign = lambda i: (F.col("embedding")[i] > 0).cast("int")
+    other = F.when(F.col("vec_id") % 10 == 3, F.lit(None)).when(F.col("vec_id") % 4 > 0, F.col("label")).otherwise((F.col("label") + 1) % 10)
+    one = e.select("vec_id", "label", F.lit("jaccard").alias("backend"), (sign(0) * 2 + sign(1)).alias("cluster"))
+    return one.unionByName(e.select("vec_id", "label", F.lit("embedding").alias("backend"), other.cast("int").alias("cluster")))
+
+
+@query("sim_16_cluster_confusion", f"""WITH {GOLD_SQL}, c AS (SELECT a.backend, coalesce(a.cluster = b.cluster, false) AS p, a.label = b.label AS g FROM gold a JOIN gold b ON a.backend = b.backend AND a.vec_id < b.vec_id),
+s AS (SELECT backend, count(*) AS pairs, count(*) FILTER (p AND g) AS tp, count(*) FILTER (p AND NOT g) AS fp, count(*) FILTER (NOT p AND g) AS fn, count(*) FILTER (NOT p AND NOT g) AS tn FROM c GROUP BY 1)
+SELECT backend, (SELECT count(*) FROM embeddings) AS n, tp AS true_positive, fp AS false_positive, fn AS false_negative, tn AS true_negative, round(tp / (tp + fp), 9) AS precision, round(tp / (tp + fn), 9) AS recall, round((tp + tn) / pairs, 9) AS accuracy FROM s""")
+def _(spark, d):
+    out = C.pair_confusion(gold_rows(Tables(spark, d)), ["backend"], "cluster", "label")
+    return out.select(*out.columns[:6], *[F.round(c, 9).alias(c) for c in ("precision", "recall", "accuracy")])
+
+
+#: Two backends score the parts of an order; the gold page is the part of its first line, the gold action what its status says.
+OUTCOME_SQL = """m AS (SELECT l_orderkey AS query, l_partkey AS page, 'jaccard' AS backend, max(l_quantity / 50) AS score FROM lineitem GROUP BY ALL UNION ALL
+SELECT l_orderkey, l_partkey, 'embedding', max(l_extendedprice / 100000) FROM lineitem WHERE l_returnflag <> 'R' GROUP BY ALL),
+g AS (SELECT o_orderkey AS query, (SELECT min(l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = 1) AS gold_page, CASE o_orderstatus WHEN 'F' THEN 'revise' WHEN 'O' THEN 'merge_multiple' ELSE 'new' END AS gold_action FROM orders),
+t AS (SELECT *, row_number() OVER (PARTITION BY backend, query ORDER BY score DESC, page) AS rank FROM m),
+h AS (SELECT backend, query, count(*) FILTER (score >= 0.5) AS hits FROM t WHERE rank <= 5 GROUP BY ALL),
+o AS (SELECT b.backend, g.query, r.rank, CASE coalesce(hits, 0) WHEN 0 THEN 'new' WHEN 1 THEN 'revise' ELSE 'merge_multiple' END AS action, gold_page, gold_action FROM g CROSS JOIN (VALUES ('jaccard'), ('embedding')) b(backend)
+  LEFT JOIN h ON h.backend = b.backend AND h.query = g.query LEFT JOIN t r ON r.backend = b.backend AND r.query = g.query AND r.rank <= 5 AND r.page = g.gold_page),
+outcome AS (SELECT backend, query, rank, action, action = gold_action AS action_correct, action <> gold_action OR (gold_page IS NOT NULL AND rank IS NULL) AS error FROM o)"""
+
+
+def outcomes(t: Tables):
+    lines = t.lineitem.select(F.col("l_orderkey").alias("query"), F.col("l_partkey").alias("page"), "l_quantity", "l_extendedprice", "l_returnflag", "l_linenumber")
+    score = lambda rows, name, x: rows.groupBy("query", "page").agg(F.max(x).cast("double").alias("score")).withColumn("backend", F.lit(name))
+    matches = score(lines, "jaccard", F.col("l_quantity") / 50).unionByName(score(lines.where("l_returnflag <> 'R'"), "embedding", F.col("l_extendedprice") / 100000))
+    first = lines.where("l_linenumber = 1").groupBy("query").agg(F.min("page").alias("gold_page"))
+    action = F.when(F.col("o_orderstatus") == "F", "revise").when(F.col("o_orderstatus") == "O", "merge_multiple").otherwise("new")
+    gold = t.orders.select(F.col("o_orderkey").alias("query"), action.alias("gold_action")).join(first, "query", "left")
+    return C.match_outcomes(matches, gold, ["backend"], "query", "page", "score", 0.5)
+
+
+@query("sim_16_match_outcomes", f"WITH {OUTCOME_SQL} SELECT backend, query, CAST(rank AS INTEGER) AS rank, action, action_correct, error FROM outcome")
+def _(spark, d):
+    return outcomes(Tables(spark, d))
+
+
+@query("sim_16_outcome_rates", f"WITH {OUTCOME_SQL} SELECT backend, count(*) AS n, count(*) FILTER (error) AS errors, round(avg(CAST(action_correct AS INT)), 9) AS action_accuracy, round(avg(coalesce(1 / rank, 0)), 9) AS mean_reciprocal_rank FROM outcome GROUP BY 1")
+def _(spark, d):
+    out = C.outcome_rates(outcomes(Tables(spark, d)), ["backend"])
+    return out.select("backend", "n", "errors", *[F.round(c, 9).alias(c) for c in ("action_accuracy", "mean_reciprocal_rank")])
 
 
 @query("sim_10_tier", f"""WITH {PAIRS_SQL}, t AS (SELECT doc_id, len({TOK}) AS n FROM documents), m AS (SELECT doc_id, min(score) AS s FROM (SELECT a AS doc_id, score FROM pairs UNION ALL SELECT b, score FROM pairs) GROUP BY 1)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lexmill.plans.base import SOURCES, Tables, query
 from lexmill.sources import files as S
+from lexmill.sources import merkle as M
 from lexmill.sources import sinks as K
 
 
@@ -176,3 +177,32 @@ def _(spark, d):
 def _(spark, d):
     parts = F.split("text", "\n", -1)
     return Tables(spark, d).documents.where(F.size(parts) >= 2).select("doc_id", F.array_join(F.slice(parts, 2, 3), "\n").alias("evidence"))
+
+
+#: A tree of hashes over all sources, as deep as their number asks for, and the same by source.
+MERKLE_SQL = """dep AS (SELECT CASE WHEN count(*) <= 4096 THEN 1 WHEN count(*) <= 65536 THEN 2 WHEN count(*) <= 1048576 THEN 3 ELSE 4 END AS depth FROM src),
+lf AS (SELECT {g}, substr(sha256(path), 1, (SELECT depth FROM dep)) AS prefix, sha256(string_agg(path || '|' || content_hash, chr(10) ORDER BY path || '|' || content_hash)) AS hash, count(*) AS n FROM src GROUP BY ALL),
+up AS (SELECT {g}, (SELECT depth FROM dep) AS level, prefix, hash, n FROM lf UNION ALL
+  SELECT * FROM (SELECT {g}, level - 1 AS level, substr(prefix, 1, level - 1) AS prefix, sha256(string_agg(prefix || ':' || hash, chr(10) ORDER BY prefix)) AS hash, CAST(sum(n) AS BIGINT) AS n FROM up WHERE level > 0 GROUP BY ALL))"""
+
+
+@query("src_08_hash_tree", f"WITH RECURSIVE {SOURCES}, {MERKLE_SQL.format(g='1 AS one')} SELECT CAST(level AS INTEGER) AS level, prefix, hash, n FROM up")
+def _(spark, d):
+    s = Tables(spark, d).sources()
+    return M.hash_tree(M.entries(s, "path", ["content_hash"]), M.depth_for(s.count()))
+
+
+@query("src_06_manifest_roots", f"WITH RECURSIVE {SOURCES}, {MERKLE_SQL.format(g='source')} SELECT source, hash, n FROM up WHERE level = 0")
+def _(spark, d):
+    s = Tables(spark, d).sources()
+    return M.roots(M.hash_tree(M.entries(s, "path", ["content_hash"], ["source"]), M.depth_for(s.count()), ["source"]), ["source"])
+
+
+@query("src_08_changed_paths", f"WITH {SOURCES} SELECT path, CASE doc_id % 100 WHEN 7 THEN 'changed' WHEN 13 THEN 'removed' ELSE 'added' END AS change FROM src WHERE doc_id % 100 IN (7, 13, 17)")
+def _(spark, d):
+    # since the first manifest, some sources were edited, some taken away, and some are new
+    s = Tables(spark, d).sources()
+    k = F.col("doc_id") % 100
+    old = s.where(k != 17)
+    new = s.where(k != 13).withColumn("content_hash", F.when(k == 7, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.col("content_hash")))
+    return M.changed_paths(M.entries(old, "path", ["content_hash"]), M.entries(new, "path", ["content_hash"]), M.depth_for(s.count()))[0]

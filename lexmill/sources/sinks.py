@@ -36,20 +36,59 @@ def replace_jsonl(df: DataFrame, path: str) -> None:
 
 
 def append_jsonl(df: DataFrame, path: str) -> None:
-    """Append rows as new files of a JSONL ledger, keys sorted. A file becomes visible when it is complete;
-    lines that an earlier writer left torn are cut by ``cut_torn_tails`` before."""
+    """Append rows as new files of a JSONL ledger, keys sorted. Lines that an earlier writer left torn are cut first, so
+    that they don't stand before whole ones; a new file becomes visible when it is complete."""
+    fs, at = _fs(df.sparkSession, path)
+    if fs.exists(at):
+        cut_torn_tails(df.sparkSession, path)
     df.select(*sorted(df.columns)).write.mode("append").option("ignoreNullFields", "false").json(path)
 
 
+#: Suffixes of files in which a line feed can't be looked for.
+COMPRESSED = (".gz", ".bz2", ".zst", ".zstd", ".lz4", ".snappy", ".deflate", ".xz")
+#: Bytes that are copied, or searched for a line feed, at once.
+COPY_BYTES = 8 << 20
+
+
+def _whole_lines(file, length: int, step: int = 1 << 16) -> int:
+    """Bytes up to and with the last line feed, looked for from the end."""
+    end = length
+    while end:
+        start = max(0, end - step)
+        found = file.read_at(end - start, start).rfind(b"\n")
+        if found >= 0:
+            return start + found + 1
+        end = start
+    return 0
+
+
+def _cut_file(fs, path: str, keep: int) -> None:
+    """Leave the first ``keep`` bytes of a file. They are written under a name that readers pass over and renamed onto the
+    file, so that whenever this stops, the ledger has the old file or the new one, and no other."""
+    folder, _, name = path.rpartition("/")
+    with fs.open_input_file(path) as old, fs.open_output_stream(f"{folder}/.{name}.cut") as new:
+        for start in range(0, keep, COPY_BYTES):
+            new.write(old.read_at(min(COPY_BYTES, keep - start), start))
+    # a checksum that Hadoop keeps beside a local file speaks of the old bytes; without one it isn't checked
+    crc = f"{folder}/.{name}.crc"
+    if fs.get_file_info(crc).is_file:
+        fs.delete_file(crc)
+    fs.move(f"{folder}/.{name}.cut", path)
+
+
 def cut_torn_tails(spark: SparkSession, path: str) -> int:
-    """Cut each file of a ledger after its last line feed, and say how many were cut.
+    """Cut each file of a ledger after its last line feed, and say how many were cut. Compressed files raise, before any
+    file is touched: their bytes don't show where a line ends.
 
-    Only the last bytes of each file are read, in parallel; a torn file is written anew beside the old
-    one and renamed over it, so that an interruption leaves either."""
+    Only the last bytes of each file are read, in parallel. What an interrupted call left behind is hidden from Spark's
+    readers, and the next call writes over it."""
     import pyarrow as pa
     import pyarrow.fs as pafs
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(path).select("path", "length").where("length > 0")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json*").load(path).select("path", "length")
+    packed = files.where(F.lower("path").rlike("(" + "|".join(re.escape(x) for x in COMPRESSED) + ")$")).select("path").head(1)
+    if packed:
+        raise ValueError(f"a compressed file can't be cut: {packed[0]['path']}")
 
     def run(batches):
         for batch in batches:
@@ -57,20 +96,13 @@ def cut_torn_tails(spark: SparkSession, path: str) -> int:
             for name, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 fs, at = (pafs.LocalFileSystem(), re.sub("^file:/*", "/", name)) if name.startswith("file:") else pafs.FileSystem.from_uri(name)
                 with fs.open_input_file(at) as f:
-                    end, step = length, 1 << 16
-                    while end and (found := f.read_at(min(step, end), end - min(step, end)).rfind(b"\n")) < 0:
-                        end -= min(step, end)
-                    keep = end - min(step, end) + found + 1 if end else 0
-                    if keep < length:
-                        with fs.open_output_stream(f"{at}.cut") as out:
-                            for start in range(0, keep, 8 << 20):
-                                out.write(f.read_at(min(8 << 20, keep - start), start))
+                    keep = _whole_lines(f, length)
                 if keep < length:
-                    fs.move(f"{at}.cut", at)
+                    _cut_file(fs, at, keep)
                     cut.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(cut, pa.string())], names=["path"])
 
-    return files.repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string").count()
+    return files.where("length > 0").repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "path string").count()
 
 
 def remember(claims: DataFrame, store: DataFrame, key: str = "identity") -> DataFrame:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.operators import calibrate, dedup, gates, graph, joins, layout, ledger, similarity, taxonomy
+from lexmill.operators import calibrate, clusters, dedup, gates, graph, joins, layout, ledger, similarity, taxonomy
 from lexmill.sources import files, sinks
 
 
@@ -35,9 +35,9 @@ def test_threshold_is_inclusive(spark):
 
 def test_greedy_clusters_need_all_members(spark):
     pairs = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.9)], "a long, b long, score double")
-    comps = similarity.smallest_reachable(pairs, spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "k long"), "k")
+    comps = clusters.smallest_reachable(pairs, spark.createDataFrame([(i,) for i in (1, 2, 3, 4)], "k long"), "k")
     assert rows(comps, "k") == [(1, 1), (2, 1), (3, 1), (4, 4)]
-    assert rows(similarity.greedy_clusters(pairs, comps, "k"), "k") == [(1, 1), (2, 1), (3, 3), (4, 4)]
+    assert rows(clusters.greedy_clusters(pairs, comps, "k"), "k") == [(1, 1), (2, 1), (3, 3), (4, 4)]
 
 
 def test_page_decision_rounds_before_the_threshold(spark):
