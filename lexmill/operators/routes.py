@@ -51,9 +51,11 @@ def question_routes(edges: DataFrame, pages: DataFrame, questions: DataFrame) ->
     hit = stored(asked.join(at, ["entry", "target"]))
     walk = hit.select("question", "entry", "target", "hops", F.col("target").alias("node"), F.array("target").alias("route"))
     for hops in range(len(levels) - 1, 0, -1):
+        # a node stands in one level, so that only walks that have come down to this one meet it
         back = levels[hops].select("entry", "node", "parent")
-        moved = walk.where(F.col("hops") >= hops).join(back, ["entry", "node"]).select("question", "entry", "target", "hops", F.col("parent").alias("node"), F.concat(F.array("parent"), "route").alias("route"))
-        walk = stored(moved.unionByName(walk.where(F.col("hops") < hops))) if hops % 8 == 0 else moved.unionByName(walk.where(F.col("hops") < hops))
+        found = F.col("parent").isNotNull()
+        walk = walk.join(back, ["entry", "node"], "left").select("question", "entry", "target", "hops", F.coalesce("parent", "node").alias("node"), F.when(found, F.concat(F.array("parent"), "route")).otherwise(F.col("route")).alias("route"))
+        walk = stored(walk) if hops % 4 == 0 else walk
     is_page = lambda column, flag: known.select(F.col("node").alias(column), F.lit(True).alias(flag))
     rows = asked.join(is_page("entry", "has_entry"), "entry", "left").join(is_page("target", "has_target"), "target", "left")
     rows = rows.join(walk.select("question", "entry", "target", "hops", "route").distinct(), ["question", "entry", "target"], "left")

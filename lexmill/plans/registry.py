@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from lexmill.plans import (  # noqa: F401
     aggregates,
     bodies,
+    candidates,
     drafts,
     extra,
     graphs,
