@@ -81,3 +81,8 @@ def test_chunked_decoding_equals_plain_viterbi():
                 path.append(int(p[path[-1]]))
             value = lambda labels: sum(scores[a + i][x] for i, x in enumerate(labels)) - 4.0 * sum(x != y for x, y in zip(labels, labels[1:], strict=False))
             assert np.isclose(value(path[::-1]), value(got[a:b].tolist()))
+
+
+def test_a_row_without_id_is_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (3,)], "doc_id long").select("doc_id", L.held_out().alias("h")).collect()
+    assert all(isinstance(r["h"], bool) for r in rows) and [r["h"] for r in rows if r["doc_id"] is None] == [False]
