@@ -83,6 +83,8 @@ def test_chunked_decoding_equals_plain_viterbi():
             assert np.isclose(value(path[::-1]), value(got[a:b].tolist()))
 
 
-def test_a_row_without_id_is_not_held_out(spark):
-    rows = spark.createDataFrame([(None,), (3,)], "doc_id long").select("doc_id", L.held_out().alias("h")).collect()
-    assert all(isinstance(r["h"], bool) for r in rows) and [r["h"] for r in rows if r["doc_id"] is None] == [False]
+def test_a_row_without_id_is_not_held_out(spark, tmp_path):
+    rows = [(None, "kato lani moke", "zz"), (3, "kato lani", "zz"), (4, "sumi tare", "yy"), (6, "sumi tare kola", "yy"), (9, "kato moke", "zz")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["held_out"] for r in L.op1_language_id(spark, str(tmp_path)).collect()}
+    assert got[None] is False and all(isinstance(x, bool) for x in got.values())
